@@ -406,18 +406,19 @@ def prefix_target_layout(
     )
 
 
-def append_masks(items: DataFrame, mask_id: int, k: int = 3, tokens: str = "tokens", shifted: bool = False) -> DataFrame:
-    """Sentence plus ``k`` masks and the position of the first mask (one earlier if ``shifted``).
+def append_masks(
+    items: DataFrame, mask_id: int, k: int = 3, tokens: str = "tokens", shifted: bool = False,
+    end_id: int | None = None,
+) -> DataFrame:
+    """Sentence, ``k`` masks and an optional end token; ``predict_at`` is the first mask.
 
-    A sentence that ends in a separator keeps the masks before it.
+    ``shifted`` layouts predict one position before the mask.
     """
-    ids = F.col(tokens)
-    first = F.size(ids)
+    parts = [F.col(tokens), F.array_repeat(F.lit(mask_id), k)]
+    if end_id is not None:
+        parts.append(F.array(F.lit(end_id)))
     return items.withColumns(
-        {
-            "with_masks": F.concat(ids, F.array_repeat(F.lit(mask_id), k)),
-            "predict_at": first - (1 if shifted else 0),
-        }
+        {"with_masks": F.concat(*parts), "predict_at": F.size(tokens) - (1 if shifted else 0)}
     )
 
 

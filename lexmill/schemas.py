@@ -32,7 +32,7 @@ RAW_ITEMS = {
     ),
 }
 
-# Text fields of each classification task, in the order in which they are joined.
+# Text fields of each classification task: left and right input.
 CLASSIFICATION_FIELDS = {
     "boolq": ("question", "passage"),
     "mnli": ("premise", "hypothesis"),
