@@ -6,12 +6,15 @@ skipped; character references are decoded. It is not a full parser of broken mar
 
 from __future__ import annotations
 
+import json
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import strip
 
-NAMED = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " "}
+REFERENCE = r"&(#[xX][0-9a-fA-F]+|#[0-9]+|[A-Za-z][A-Za-z0-9]*);"
 
 
 def without_invisible(html: Column) -> Column:
@@ -41,20 +44,22 @@ def container(html: Column, tag: str, attribute: str | None = None) -> Column:
 
 
 def decode_references(c: Column) -> Column:
-    """Named and numeric character references become characters; ``&amp;`` is decoded last."""
-    for name, char in NAMED.items():
-        c = F.replace(c, F.lit(f"&{name};"), F.lit(char))
-    pieces = F.split(c, r"&#[xX]?[0-9a-fA-F]+;")
-    references = F.regexp_extract_all(c, F.lit(r"&#([xX]?[0-9a-fA-F]+);"), F.lit(1))
-    code = lambda r: F.when(
-        r.rlike("^[xX]"), F.conv(F.substring(r, 2, 8), 16, 16)
-    ).otherwise(F.conv(r, 10, 16))
-    chars = F.transform(references, lambda r: F.decode(F.unhex(F.lpad(code(r), 8, "0")), "UTF-32"))
-    numeric = F.array_join(
-        F.zip_with(pieces, chars, lambda p, x: F.concat(p, F.coalesce(x, F.lit("")))), ""
-    )
-    c = F.when(c.contains("&#"), numeric).otherwise(c)
-    return F.replace(c, F.lit("&amp;"), F.lit("&"))
+    """Named and numeric character references become characters, in one pass; unknown ones stay."""
+    pieces = F.split(c, REFERENCE)
+    names = F.from_json(F.lit(json.dumps({k: chr(v) for k, v in name2codepoint.items()})), "map<string,string>")
+
+    def char(r: Column) -> Column:
+        code = F.when(r.rlike("^#[xX]"), F.conv(F.substring(r, 3, 8), 16, 16)).otherwise(
+            F.conv(F.substring(r, 2, 8), 10, 16)
+        )
+        numeric = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
+        return F.when(r.startswith("#"), numeric).otherwise(
+            F.coalesce(F.element_at(names, r), F.concat(F.lit("&"), r, F.lit(";")))
+        )
+
+    chars = F.transform(F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(1)), char)
+    joined = F.array_join(F.zip_with(pieces, chars, lambda p, x: F.concat(p, F.coalesce(x, F.lit("")))), "")
+    return F.when(c.contains("&"), joined).otherwise(c)
 
 
 def text_nodes(html: Column) -> Column:

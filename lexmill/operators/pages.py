@@ -82,7 +82,7 @@ def ingest_rate(events: DataFrame, ts: str = "ts", width: str = "1 minute", keys
 
 def ingest_progress(events: DataFrame, total: int, ts: str = "ts") -> DataFrame:
     """Processed rows, elapsed minutes, rows per minute, minutes to go (NULL at rate 0)."""
-    elapsed = (F.unix_micros(F.max(ts)) - F.unix_micros(F.min(ts))) / F.lit(60e6)
+    elapsed = (F.unix_micros(F.max(F.col(ts).cast("timestamp"))) - F.unix_micros(F.min(F.col(ts).cast("timestamp")))) / F.lit(60e6)
     base = events.agg(F.count(F.lit(1)).alias("processed"), elapsed.alias("elapsed_minutes"))
     rate = F.when(F.col("elapsed_minutes") > 0, F.col("processed") / F.col("elapsed_minutes")).otherwise(0.0)
     return base.withColumn("per_minute", rate).withColumn(
@@ -112,6 +112,6 @@ def conversion_counts(articles: DataFrame, path: str = "path", name: str = "name
         F.coalesce(skipped, F.lit(False)).alias("s"), (F.coalesce(body, F.lit("")) == "").alias("e")
     )
     return flags.agg(
-        F.count(F.lit(1)).alias("total"), F.count_if("s").alias("skipped"), F.count_if("not s").alias("processed"),
-        F.count_if("not s and e").alias("empty"), F.count_if("not s and not e").alias("converted"),
+        F.count(F.lit(1)).alias("total"), F.count_if("s").alias("skipped"), F.count_if(~F.col("s")).alias("processed"),
+        F.count_if(~F.col("s") & F.col("e")).alias("empty"), F.count_if(~F.col("s") & ~F.col("e")).alias("converted"),
     )
