@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,35 +16,51 @@ def as_doubles(values: Column) -> Column:
     return values.cast("array<double>")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    Inside a lambda an outer expression would be computed again for every array element.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def log_sum_exp(logits: Column) -> Column:
     """log(sum(exp(x))), shifted by the maximum."""
-    top = F.array_max(logits)
-    return top + F.log(total(F.transform(logits, lambda x: F.exp(x - top))))
+    return let(
+        logits,
+        lambda xs: let(
+            F.array_max(xs), lambda top: top + F.log(total(F.transform(xs, lambda x: F.exp(x - top))))
+        ),
+    )
 
 
 def scaled(logits: Column, temperature: Column | float) -> Column:
     t = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
-    return F.transform(logits, lambda x: x / t)
+    return let(t, lambda t: F.transform(logits, lambda x: x / t))
 
 
 def log_softmax(logits: Column, temperature: Column | float = 1.0) -> Column:
-    x = scaled(logits, temperature)
-    norm = log_sum_exp(x)
-    return F.transform(x, lambda v: v - norm)
+    return let(
+        scaled(logits, temperature),
+        lambda xs: let(log_sum_exp(xs), lambda norm: F.transform(xs, lambda v: v - norm)),
+    )
 
 
 def target_logprob(logits: Column, target: Column, temperature: Column | float = 1.0) -> Column:
     """Log-probability of one target id, without building the whole log-softmax array."""
-    t = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
-    return F.element_at(logits, target.cast("int") + 1) / t - log_sum_exp(scaled(logits, t))
+    return let(
+        scaled(logits, temperature),
+        lambda xs: F.element_at(xs, target.cast("int") + 1) - log_sum_exp(xs),
+    )
 
 
 def softmax(logits: Column, beta: Column | float = 1.0) -> Column:
+    def weights(xs: Column, b: Column) -> Column:
+        return let(F.array_max(xs), lambda top: F.transform(xs, lambda x: F.exp(b * (x - top))))
+
     b = beta if isinstance(beta, Column) else F.lit(float(beta))
-    top = F.array_max(logits)
-    weights = F.transform(logits, lambda x: F.exp(b * (x - top)))
-    norm = total(weights)
-    return F.transform(weights, lambda w: w / norm)
+    weighted = let(b, lambda b: let(logits, lambda xs: weights(xs, b)))
+    return let(weighted, lambda ws: let(total(ws), lambda norm: F.transform(ws, lambda w: w / norm)))
 
 
 def argmax(values: Column) -> Column:
@@ -63,8 +81,7 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: x / norm)
+    return let(v, lambda v: let(F.sqrt(dot(v, v)), lambda norm: F.transform(v, lambda x: x / norm)))
 
 
 def parse_step(c: Column) -> Column:

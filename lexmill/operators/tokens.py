@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexmill.functions import text as tx
+from lexmill.functions.numeric import let
 from lexmill.operators.ordering import id_groups, running_total
 from lexmill.session import cut_lineage
 
@@ -96,8 +97,9 @@ def train_bpe(
     vocabulary = Vocabulary(specials, [b for b in byte_order() if b in present])
     ids = {f"{b:02X}": i for b, i in vocabulary.byte_ids().items()}
     lookup = F.from_json(F.lit(json.dumps(ids)), "map<string,int>")
+    # One task per core: the table is small next to the corpus but read once per round.
     words = cut_lineage(
-        hexed.select(
+        hexed.repartition(counts.sparkSession.sparkContext.defaultParallelism).select(
             F.array_join(
                 F.transform("bytes", lambda x: F.concat(F.lit("<"), F.element_at(lookup, x), F.lit(">"))), ""
             ).alias("sym"),
@@ -106,8 +108,6 @@ def train_bpe(
     )
     pending = 0
     while vocabulary.size < vocab_size:
-        # A word of one symbol takes part in no further merge.
-        words = words.where(F.instr("sym", "><") > 0)
         room = vocab_size - vocabulary.size
         best = _best_pairs(words, min(candidates, room), min_frequency)
         if not best:
@@ -118,7 +118,8 @@ def train_bpe(
             words = words.withColumn("sym", F.replace("sym", F.lit(f"<{a}><{b}>"), F.lit(f"<{new}>")))
             pending += 1
         if pending >= checkpoint_every:
-            words, pending = cut_lineage(words), 0
+            # A word of one symbol takes part in no further merge.
+            words, pending = cut_lineage(words.where(F.instr("sym", "><") > 0)), 0
     return vocabulary
 
 
@@ -355,9 +356,9 @@ def completion_positions(
     ``offsets`` are (start, end) character ranges. Causal layouts pass the start of the first token
     as ``first_start``.
     """
-    border = F.length(sentence) - F.length(completion)
     shift = first_start if isinstance(first_start, Column) else F.lit(first_start)
-    return F.transform(offsets, lambda o: (o["end"] > border + shift).cast("int"))
+    border = F.length(sentence) - F.length(completion) + shift
+    return let(border, lambda b: F.transform(offsets, lambda o: (o["end"] > b).cast("int")))
 
 
 def mask_each_position(

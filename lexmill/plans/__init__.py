@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lexmill.plans import page_queries, text_queries, token_queries
+from lexmill.plans import page_queries, score_queries, text_queries, token_queries
 from lexmill.plans.registry import ORACLE, QUERIES
 from lexmill.plans.text_queries import flagship
 
-__all__ = ["all_queries", "flagship", "oracles", "page_queries", "text_queries", "token_queries"]
+__all__ = ["all_queries", "flagship", "oracles", "page_queries", "score_queries", "text_queries", "token_queries"]
 
 
 def all_queries():

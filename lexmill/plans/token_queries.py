@@ -9,7 +9,7 @@ from lexmill.operators import tokens as tk
 from lexmill.plans import sqlparts as sq
 from lexmill.plans.registry import query, table
 
-MERGES, LENGTH, OFFSET, SEED = 64, 128, 7, 42
+VOCAB, LENGTH, OFFSET, SEED = 131, 128, 7, 42
 MASK, BOS, EOS, CLS = 1, 2, 3, 4
 
 
@@ -29,7 +29,7 @@ def pretoken_counts(spark, sf):
 
 def _vocabulary(spark, sf):
     counts = tk.pretoken_counts(_texts(spark, sf))
-    return tk.train_bpe(counts, vocab_size=3 + 256 + MERGES)
+    return tk.train_bpe(counts, vocab_size=VOCAB)
 
 
 @query("bpe_vocabulary")
