@@ -187,8 +187,8 @@ def fit_ols(df: DataFrame, y: str, terms: tuple[Term, ...]) -> dict:
     t = np.divide(beta, errors, out=np.full(k, np.nan), where=errors > 0)
     return {
         "n": int(n),
-        "r2": 1 - residual / total if total > 0 else float("nan"),
-        "aic": n * math.log(2 * math.pi * residual / n) + n + 2 * rank if residual > 0 else float("-inf"),
+        "r2": float(1 - residual / total) if total > 0 else float("nan"),
+        "aic": float(n * math.log(2 * math.pi * residual / n) + n + 2 * rank) if residual > 0 else float("-inf"),
         "intercept": float(means[k] - beta @ means[:k]),
         "coef": dict(zip(names, beta.tolist())),
         "t": dict(zip(names, t.tolist())),

@@ -213,21 +213,21 @@ def classification_inputs(spark, sf):
     return validation.collate_predictions(parts)
 
 
-_VOCAB = f"(SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[\\p{{L}}]+'))) AS word FROM documents WHERE lang = 'en')"
+_VOCAB = f"(SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[\\p{{L}}]+'))) AS word FROM documents)"
 
 
 @query(
     "vocab_filter",
     f"""SELECT conv_id, turn FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM
-      (SELECT unnest(regexp_extract_all(lower(c.text || ' ' || c.role), '[\\p{{L}}]+')) AS w) WHERE w NOT IN
+      (SELECT unnest(regexp_extract_all(lower(c.text), '[\\p{{L}}]+')) AS w) WHERE w NOT IN
       (SELECT word FROM {_VOCAB}))""",
 )
 def vocab_filter(spark, sf):
-    vocab = table(spark, sf, "documents").where("lang = 'en'").select(
+    vocab = table(spark, sf, "documents").select(
         F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)"), F.lit(1))).alias("word")
     )
     turns = table(spark, sf, "conversations").withColumn("key", F.concat_ws("-", "conv_id", "turn"))
-    return items.vocab_filter(turns, vocab, ["text", "role"], "key", r"([\p{L}]+)").select("conv_id", "turn")
+    return items.vocab_filter(turns, vocab, ["text"], "key", r"([\p{L}]+)").select("conv_id", "turn")
 
 
 @query(
