@@ -26,10 +26,10 @@ def without_invisible(html: Column) -> Column:
 def container(html: Column, tag: str, attribute: str | None = None) -> Column:
     """Inner HTML of the first ``tag`` (whose start tag matches ``attribute``); NULL if absent.
 
-    Nested elements of the same name are balanced.
+    Comments, scripts and styles are gone, so tags written inside them do not count. Nested elements of the same name are balanced.
     """
     start = rf"(?is)<{tag}\b(?=[^>]*{attribute})[^>]*>" if attribute else rf"(?is)<{tag}\b[^>]*>"
-    rest = F.get(F.split(html, start, 2), F.lit(1))
+    rest = F.get(F.split(without_invisible(html), start, 2), F.lit(1))
     parts = F.split(rest, rf"(?i)(?=</?{tag}\b)")
     opened = F.struct(F.lit(1).alias("depth"), F.lit("").alias("text"))
 
@@ -63,13 +63,13 @@ def decode_references(c: Column) -> Column:
 
 
 def text_nodes(html: Column) -> Column:
-    """Stripped, non-empty text between tags, in order."""
-    nodes = F.split(without_invisible(html), r"<[^>]*>")
+    """Stripped, non-empty text between the tags of cleaned HTML, in order."""
+    nodes = F.split(html, r"<[^>]*>")
     return F.filter(F.transform(nodes, lambda t: strip(decode_references(t))), lambda t: t != "")
 
 
 def visible_text(html: Column) -> Column:
-    return F.array_join(text_nodes(html), "\n")
+    return F.array_join(text_nodes(without_invisible(html)), "\n")
 
 
 def hrefs(html: Column) -> Column:

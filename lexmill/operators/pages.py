@@ -35,7 +35,7 @@ def extract_links(
     Order and duplicates are kept; links are resolved against ``base`` (default: the page's URL).
     """
     wanted = F.filter(
-        hx.hrefs(hx.without_invisible(hx.container(F.col("html"), *container))),
+        hx.hrefs(hx.container(F.col("html"), *container)),
         lambda h: h.contains(part) & ~F.exists(F.array(*[F.lit(s) for s in stop]), lambda s: h.contains(s)),
     )
     base = F.col("url") if base is None else base
@@ -50,10 +50,10 @@ def extract_article(
     """Title and content (text nodes joined by line ends); pages without container are dropped."""
     inner = hx.container(F.col("html"), *container)
     heading = tx.strip(F.array_join(F.transform(
-        F.split(hx.without_invisible(hx.container(F.col("html"), *title)), r"<[^>]*>"), hx.decode_references), ""))
+        F.split(hx.container(F.col("html"), *title), r"<[^>]*>"), hx.decode_references), ""))
     return (
         pages.withColumn("_inner", inner).where("_inner is not null")
-        .withColumns({"title": F.coalesce(heading, F.lit("")), "content": hx.visible_text(F.col("_inner"))})
+        .withColumns({"title": F.coalesce(heading, F.lit("")), "content": F.array_join(hx.text_nodes(F.col("_inner")), "\n")})
         .drop("_inner", "html")
     )
 
