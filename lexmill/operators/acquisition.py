@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import numeric as nm
 from lexmill.operators.stats import pearson
+from lexmill.session import python_partitions
 
 AGES = range(16, 31)
 APPROXIMATE_VOCAB = 300_000
@@ -82,7 +83,7 @@ def fit_sigmoid(x, y, start, low=None, high=None, weights=None, steps: int = 100
             damping *= 4
         if not moved:
             break
-        done = cost - trial_cost < 1e-14 * max(cost, 1e-300)
+        done = cost - trial_cost < 1e-10 * max(cost, 1e-300)
         p, residual, cost, damping = trial, trial_residual, trial_cost, max(damping / 8, 1e-12)
         if done:
             break
@@ -112,7 +113,7 @@ def child_aoa(long: DataFrame, threshold: float = 0.5) -> DataFrame:
                 aoa = None
         return pd.DataFrame({"word": [pdf["word"].iloc[0]], "child_aoa": pd.Series([aoa], dtype="float64")})
 
-    return long.groupBy("word").applyInPandas(fit, "word string, child_aoa double")
+    return python_partitions(long, "word").groupBy("word").applyInPandas(fit, "word string, child_aoa double")
 
 
 def step_statistics(surprisal: DataFrame) -> DataFrame:
@@ -155,7 +156,8 @@ def model_aoa(
                 out = None
         return pd.DataFrame({"word": [pdf["target_word"].iloc[0]], "model_aoa": pd.Series([out], dtype="float64")})
 
-    return step_statistics(surprisal).groupBy("target_word").applyInPandas(fit, "word string, model_aoa double")
+    by_word = python_partitions(step_statistics(surprisal), "target_word")
+    return by_word.groupBy("target_word").applyInPandas(fit, "word string, model_aoa double")
 
 
 def with_step_number(surprisal: DataFrame) -> DataFrame:

@@ -195,8 +195,8 @@ def vocab_filter(
     """
     text = F.lower(F.concat_ws(" ", *fields))
     tokens = items.select(
-        key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(token_pattern), F.lit(1)))).alias("word")
-    )
+        key, F.explode_outer(F.array_distinct(F.regexp_extract_all(text, F.lit(token_pattern), F.lit(1)))).alias("word")
+    ).where("word is not null")
     known = broadcast_if_small(vocab.select("word").distinct())
     bad = tokens.join(known, "word", "left_anti").select(key).distinct()
     return items.join(bad, key, "left_anti")

@@ -19,8 +19,10 @@ def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     if text not in docs.columns:
         raise ValueError(f"column '{text}' not found, there is: {docs.columns}")
     parts = F.split(text, rf"(?<=[.!?])[{tx.SPACE}]+")
-    return docs.select(key, F.posexplode(parts).alias("sent_no", "sentence")).select(
-        key, "sent_no", tx.words(F.col("sentence")).alias("tokens")
+    return (
+        docs.select(key, F.posexplode_outer(parts).alias("sent_no", "sentence"))
+        .where("sentence is not null")
+        .select(key, "sent_no", tx.words(F.col("sentence")).alias("tokens"))
     )
 
 
@@ -79,8 +81,8 @@ def full_prefix_windows(sents: DataFrame, key: str = "doc_id") -> DataFrame:
         prefix_digests("tokens").alias("context"), F.expr("slice(tokens, 2, size(tokens))").alias("next")
     )
     return (
-        sents.where(F.size("tokens") > 1)
-        .select(key, "sent_no", F.posexplode(pairs).alias("at", "w"))
+        sents.select(key, "sent_no", F.posexplode_outer(F.when(F.size("tokens") > 1, pairs)).alias("at", "w"))
+        .where("w is not null")
         .select(
             key, "sent_no", (F.col("at") + 1).alias("i"), F.col("w")["next"].alias("next"),
             F.col("w")["context"].alias("context"), (F.col("at") + 1).alias("context_size"),
@@ -99,8 +101,9 @@ def _per_million(frequency: Column) -> Column:
     return F.log10(frequency * 1_000_000)
 
 
-def _with_total(counts: DataFrame, by: str, windows: DataFrame) -> DataFrame:
-    total = windows.agg(F.count(F.lit(1)).alias("total")).scalar()
+def _with_share(counts: DataFrame, by: str) -> DataFrame:
+    # The total comes from the counts, so the windows are built once and the exchange is reused.
+    total = counts.agg(F.sum("count").alias("total")).scalar()
     frequency = F.col("count") / total
     return counts.select(
         by, "count", frequency.alias("frequency"), _per_million(frequency).alias("log_freq_per_million")
@@ -109,14 +112,12 @@ def _with_total(counts: DataFrame, by: str, windows: DataFrame) -> DataFrame:
 
 def context_stats(windows: DataFrame) -> DataFrame:
     """Count, share of all windows and log10 per million of every context."""
-    counts = windows.groupBy("context").agg(F.count(F.lit(1)).alias("count"))
-    return _with_total(counts, "context", windows)
+    return _with_share(windows.groupBy("context").agg(F.count(F.lit(1)).alias("count")), "context")
 
 
 def word_stats(windows: DataFrame) -> DataFrame:
     """Counts of next words; the first token of a sentence is never counted."""
-    counts = windows.groupBy("next").agg(F.count(F.lit(1)).alias("count"))
-    return _with_total(counts, "next", windows)
+    return _with_share(windows.groupBy("next").agg(F.count(F.lit(1)).alias("count")), "next")
 
 
 def next_word_stats(windows: DataFrame) -> DataFrame:
@@ -135,11 +136,12 @@ def next_word_stats(windows: DataFrame) -> DataFrame:
 
 def corpus_summary(windows: DataFrame, max_context: int | None) -> DataFrame:
     """Totals and numbers of distinct contexts and words, from pre-aggregated counts."""
-    contexts = windows.groupBy("context").agg(F.count(F.lit(1)).alias("n")).agg(
+    pairs = windows.groupBy("context", "next").agg(F.count(F.lit(1)).alias("n"))
+    contexts = pairs.groupBy("context").agg(F.sum("n").alias("n")).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_windows"),
         F.count(F.lit(1)).alias("unique_contexts"),
     )
-    words = windows.groupBy("next").agg(F.count(F.lit(1)).alias("n")).agg(
+    words = pairs.groupBy("next").agg(F.sum("n").alias("n")).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_words"), F.count(F.lit(1)).alias("unique_words")
     )
     return contexts.select(

@@ -94,12 +94,18 @@ def quantile_groups(df: DataFrame, column: str, buckets: int = 64) -> tuple[Data
     ).transform(df), "_bucket"
 
 
-def average_ranks(df: DataFrame, column: str, name: str = "avg_rank", buckets: int = 64) -> DataFrame:
-    """Distinct values of ``column`` with their count and average rank (ties share the mean rank)."""
+def average_ranks(
+    df: DataFrame, column: str, name: str = "avg_rank", buckets: int = 64, weight: str | None = None
+) -> DataFrame:
+    """Distinct values of ``column`` with their count and average rank (ties share the mean rank).
+
+    With ``weight`` a row stands for that many equal values.
+    """
+    size = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counts = (
         df.where(F.col(column).isNotNull() & ~F.isnan(column))
         .groupBy(F.col(column).cast("double").alias(column))
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(size.alias("n"))
     )
     bucketed, bucket = quantile_groups(counts, column, buckets)
     ranked = running_total(

@@ -39,7 +39,7 @@ def extract_links(
         lambda h: h.contains(part) & ~F.exists(F.array(*[F.lit(s) for s in stop]), lambda s: h.contains(s)),
     )
     base = F.col("url") if base is None else base
-    return pages.select(*keys, base.alias("_base"), F.posexplode(wanted).alias("link_no", "_href")).select(
+    return pages.select(*keys, base.alias("_base"), F.posexplode_outer(wanted).alias("link_no", "_href")).where("_href is not null").select(
         *keys, "link_no", hx.resolve_url(F.col("_base"), F.col("_href")).alias("link")
     )
 

@@ -12,7 +12,7 @@ from lexmill.session import broadcast_if_small
 
 def split_articles(df: DataFrame, text: str = "text") -> DataFrame:
     """Articles separated by a blank line; each stripped, empty ones dropped, order kept."""
-    parts = F.posexplode(F.split(text, "\n\n")).alias("part", "article")
+    parts = F.posexplode_outer(F.split(text, "\n\n")).alias("part", "article")
     return (
         df.select(*[c for c in df.columns if c != text], parts)
         .withColumn("article", tx.strip(F.col("article")))

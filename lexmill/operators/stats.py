@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from lexmill.functions import numeric as nm
 from lexmill.operators.ordering import average_ranks
+from lexmill.session import cut_lineage
 
 Pair = tuple[str, str]
 Term = str | Pair
@@ -77,17 +78,16 @@ def _incomplete_beta(a: float, b: float, x: float) -> float:
 def spearman(df: DataFrame, x: str, y: str, buckets: int = 64) -> DataFrame:
     """Rank correlation with mean ranks for ties.
 
-    Pairs are counted first. Ranks are computed on distinct values and joined back, so the number of
+    Pairs are counted first and stored, as several passes read them. Ranks are computed on distinct values and joined back, so the number of
     rows that are sorted and joined is that of distinct values.
     """
     both = F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y)
-    pairs = (
+    pairs = cut_lineage(
         df.where(both).groupBy(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
         .agg(F.count(F.lit(1)).alias("_w"))
     )
-    base = df.where(both)
-    rx = average_ranks(base.select(F.col(x).cast("double").alias("_x")), "_x", "_rx", buckets)
-    ry = average_ranks(base.select(F.col(y).cast("double").alias("_y")), "_y", "_ry", buckets)
+    rx = average_ranks(pairs.select("_x", "_w"), "_x", "_rx", buckets, weight="_w")
+    ry = average_ranks(pairs.select("_y", "_w"), "_y", "_ry", buckets, weight="_w")
     ranked = pairs.join(rx.select("_x", "_rx"), "_x").join(ry.select("_y", "_ry"), "_y")
     return weighted_corr(ranked, "_rx", "_ry", "_w").select(F.col("r").alias("rho"), "n")
 

@@ -39,7 +39,8 @@ def pretoken_counts(docs: DataFrame, text: str = "text", normalize: bool = True)
     source = tx.normalize_nfkc(F.col(text)) if normalize else F.col(text)
     return (
         docs.select(source.alias("_text"))
-        .select(F.explode(pretokens(F.col("_text"))).alias("pretoken"))
+        .select(F.explode_outer(pretokens(F.col("_text"))).alias("pretoken"))
+        .where("pretoken is not null")
         .groupBy("pretoken").agg(F.count(F.lit(1)).alias("count"))
     )
 
@@ -89,7 +90,7 @@ def train_bpe(
     counts of the triples around them bound; so the result equals one merge at a time. Only the
     candidate rows (a fixed number) and the merges reach the driver.
     """
-    hexed = counts.where("pretoken <> ''").select(
+    hexed = cut_lineage(counts).where("pretoken <> ''").select(
         F.regexp_extract_all(F.hex(F.encode("pretoken", "UTF-8")), F.lit("(..)"), F.lit(1)).alias("bytes"),
         F.col("count").alias("n"),
     )
@@ -132,7 +133,11 @@ def _best_pairs(words: DataFrame, k: int, min_frequency: int) -> list[tuple[int,
     pairs = (
         words.select(_symbol_ids().alias("ids"), "n")
         .select(
-            F.explode(F.zip_with(ids, F.expr("slice(ids, 2, size(ids))"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p"),
+            F.explode_outer(
+                F.zip_with(
+                    ids, F.expr("slice(ids, 2, size(ids))"), lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+                )
+            ).alias("p"),
             "n",
         )
         .where("p.b is not null")
@@ -153,26 +158,26 @@ def _exact_prefix(words: DataFrame, best: list[tuple[int, int, int]]) -> list[tu
     if len(disjoint) == 1:
         return [best[0][:2]]
     # Count, per candidate pair, its neighbours on the left and on the right.
-    neighbours = F.concat(
-        *[
-            F.concat(
-                F.transform(
-                    F.regexp_extract_all("sym", F.lit(rf"<(\d+)>(?=<{a}><{b}>)"), F.lit(1)),
-                    lambda x, i=i: F.struct(F.lit(i).alias("i"), F.lit("left").alias("side"), x.alias("x")),
-                ),
-                F.transform(
-                    F.regexp_extract_all("sym", F.lit(rf"<{a}><{b}>(?=<(\d+)>)"), F.lit(1)),
-                    lambda x, i=i: F.struct(F.lit(i).alias("i"), F.lit("right").alias("side"), x.alias("x")),
-                ),
-            )
-            for i, (a, b, _) in enumerate(disjoint[:-1])
-        ]
+    earlier = {f"<{a}><{b}>": i for i, (a, b, _) in enumerate(disjoint[:-1])}
+    any_pair = "(" + "|".join(earlier) + ")"
+
+    def neighbours(side: str, pattern: str, pair: int, other: int) -> Column:
+        found = F.regexp_extract_all("sym", F.lit(pattern), F.lit(pair))
+        beside = F.regexp_extract_all("sym", F.lit(pattern), F.lit(other))
+        return F.zip_with(
+            found, beside, lambda p, x: F.struct(p.alias("pair"), F.lit(side).alias("side"), x.alias("x"))
+        )
+
+    triples = F.concat(
+        neighbours("left", rf"<(\d+)>(?={any_pair})", 2, 1), neighbours("right", rf"{any_pair}(?=<(\d+)>)", 1, 2)
     )
-    bounds = dict(
-        words.select(F.explode(neighbours).alias("t"), "n")
-        .groupBy("t.i", "t.side", "t.x").agg(F.sum("n").alias("n"))
-        .groupBy("i").agg(F.max("n")).collect()
+    counted = (
+        words.where(F.col("sym").rlike(any_pair)).select(F.explode_outer(triples).alias("t"), "n")
+        .where("t is not null")
+        .groupBy("t.pair", "t.side", "t.x").agg(F.sum("n").alias("n"))
+        .groupBy("pair").agg(F.max("n")).collect()
     )
+    bounds = {earlier[pair]: n for pair, n in counted}
     taken, ceiling = [], 0
     for i, (a, b, n) in enumerate(disjoint):
         if i and ceiling >= n:
@@ -193,7 +198,7 @@ def vocabulary_table(docs_vocab: Vocabulary, spark) -> DataFrame:
 
 def token_frequencies(encoded: DataFrame, tokens: str = "tokens") -> DataFrame:
     return (
-        encoded.select(F.explode(tokens).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("freq"))
+        encoded.select(F.explode_outer(tokens).alias("id")).where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("freq"))
     )
 
 
@@ -281,12 +286,13 @@ def pack_sequences(docs: DataFrame, length: int, offset: int = 0, ord_col: str =
 
 
 def _pieces(docs: DataFrame, length: int, offset: int, ord_col: str, tokens: str) -> DataFrame:
-    sized = docs.where(F.size(tokens) > 0)
     starts = running_total(
-        sized.select(ord_col, F.size(tokens).cast("bigint").alias("_n")), F.col("_n"),
+        docs.select(ord_col, F.size(tokens).cast("bigint").alias("_n")), F.col("_n"),
         [F.col(ord_col)], id_groups(F.col(ord_col)), name="_start",
-    ).select(ord_col, (F.col("_start") - offset).alias("_start"))
-    placed = sized.join(starts, ord_col).withColumn("_end", F.col("_start") + F.size(tokens))
+    ).where("_n > 0").select(
+        ord_col, (F.col("_start") - offset).alias("_start"), (F.col("_start") - offset + F.col("_n")).alias("_end")
+    )
+    placed = docs.join(starts, ord_col)
     chunks = F.sequence(
         F.floor(F.greatest("_start", F.lit(0)) / length), F.floor((F.col("_end") - 1) / length)
     )
@@ -375,11 +381,14 @@ def mask_each_position(
     ids = F.col(tokens)
     at = {"mlm": F.col("position"), "mntp": F.col("position") - 1, "enc_dec_mask": F.lit(1)}[mode]
     rows = (
-        items.select("*", F.posexplode(in_completion).alias("position", "_chosen"))
+        items.select("*", F.posexplode_outer(in_completion).alias("position", "_chosen"))
         .where("_chosen = 1")
         .select(
             *items.columns, "position", at.alias("predict_at"), F.get(ids, F.col("position")).alias("target"),
-            F.transform(ids, lambda x, j: F.when(j == F.col("position"), F.lit(mask_id)).otherwise(x)).alias("masked"),
+            F.concat(
+                F.slice(ids, F.lit(1), F.col("position")), F.array(F.lit(mask_id)),
+                F.slice(ids, F.col("position") + 2, F.size(ids)),
+            ).alias("masked"),
         )
     )
     if mode == "mntp" and not has_bos:

@@ -58,3 +58,18 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Repartition a scan that has fewer partitions than there are cores; larger scans stay as they are.
+
+    Text work is bound by the processor, so one small file must not be one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def python_partitions(df: DataFrame, *keys: str) -> DataFrame:
+    """Fixed number of partitions by key in front of Python groups, which adaptive execution would
+    merge into few tasks by their small size in bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
