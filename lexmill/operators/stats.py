@@ -251,12 +251,12 @@ def pair_similarities(pairs: DataFrame, vectors: DataFrame, vec_id: str = "vec_i
 
 def rsa(pairs: DataFrame, a: str, b: str, method: str = "spearman") -> DataFrame:
     """Correlation of two similarity columns over pairs i > j."""
+    if method not in ("spearman", "pearson"):
+        raise ValueError("Unsupported method. Use 'spearman' or 'pearson'.")
     lower = pairs.where("i > j")
     if method == "spearman":
         return spearman(lower, a, b)
-    if method == "pearson":
-        return lower.agg(F.corr(a, b).alias("r"), F.count(F.lit(1)).alias("n"))
-    raise ValueError("Unsupported method. Use 'spearman' or 'pearson'.")
+    return lower.agg(F.corr(a, b).alias("r"), F.count(F.lit(1)).alias("n"))
 
 
 def _partial_sums(batches):
