@@ -78,12 +78,13 @@ def dense_positions(
     return running_total(df, F.lit(1).cast("bigint"), order, groups, within, name)
 
 
-def quantile_groups(df: DataFrame, column: str, buckets: int = 64) -> tuple[DataFrame, str]:
+def quantile_groups(df: DataFrame, column: str, buckets: int | None = None) -> tuple[DataFrame, str]:
     """Order-preserving buckets of a double column, cut at approximate quantiles.
 
-    The cut points are fixed on the driver (at most ``buckets`` numbers), so every pass over the
+    There are at least as many buckets as shuffle partitions. The cut points are fixed on the driver (at most ``buckets`` numbers), so every pass over the
     data uses the same ones.
     """
+    buckets = buckets or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     probabilities = [i / buckets for i in range(1, buckets)]
     cuts = sorted(set(df.approxQuantile(column, probabilities, 1.0 / (4 * buckets)) or []))
     if not cuts:
@@ -95,7 +96,7 @@ def quantile_groups(df: DataFrame, column: str, buckets: int = 64) -> tuple[Data
 
 
 def average_ranks(
-    df: DataFrame, column: str, name: str = "avg_rank", buckets: int = 64, weight: str | None = None
+    df: DataFrame, column: str, name: str = "avg_rank", buckets: int | None = None, weight: str | None = None
 ) -> DataFrame:
     """Distinct values of ``column`` with their count and average rank (ties share the mean rank).
 

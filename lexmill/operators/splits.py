@@ -89,11 +89,13 @@ def exclude_selected(
 def split_report(docs: DataFrame, train: DataFrame, val: DataFrame, text: str = "text") -> DataFrame:
     """Words and share of the corpus per split, and of the unused rest."""
     total = docs.agg(F.sum(tx.count_words(F.col(text)).cast("bigint")).alias("total"))
-    parts = (
-        train.select(F.lit("train").alias("split"), "n_words")
-        .unionByName(val.select(F.lit("val").alias("split"), "n_words"))
-        .groupBy("split").agg(F.sum("n_words").alias("n_words"))
-    )
+
+    def words(split: str, rows: DataFrame) -> DataFrame:
+        return rows.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n_words")).select(
+            F.lit(split).alias("split"), "n_words"
+        )
+
+    parts = words("train", train).unionByName(words("val", val))
     used = parts.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("used"))
     unused = total.select(
         F.lit("unused").alias("split"), (F.col("total") - used.scalar()).alias("n_words")

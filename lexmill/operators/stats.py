@@ -75,7 +75,7 @@ def _incomplete_beta(a: float, b: float, x: float) -> float:
     return front * h / a
 
 
-def spearman(df: DataFrame, x: str, y: str, buckets: int = 64) -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str, buckets: int | None = None) -> DataFrame:
     """Rank correlation with mean ranks for ties.
 
     Pairs are counted first and stored, as several passes read them. Ranks are computed on distinct values and joined back, so the number of

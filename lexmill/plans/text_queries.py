@@ -8,6 +8,7 @@ from lexmill.functions import text as tx
 from lexmill.operators import ngrams, splits
 from lexmill.plans import sqlparts as sq
 from lexmill.plans.registry import query, table
+from lexmill.session import cut_lineage
 
 SEED = 42
 TRAIN_WORDS, VAL_WORDS = 100_000, 20_000
@@ -134,9 +135,10 @@ val AS (SELECT * FROM (SELECT * EXCLUDE (digest), CAST(COALESCE(SUM(n_words) OVE
 
 def _train_and_val(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    train = splits.sample_by_word_budget(docs, TRAIN_WORDS, SEED)
+    # The samples (narrow rows) are stored, as several steps read them.
+    train = cut_lineage(splits.sample_by_word_budget(docs, TRAIN_WORDS, SEED))
     pool = splits.exclude_selected(docs, train)
-    return docs, train, splits.sample_by_word_budget(pool, VAL_WORDS, SEED + 1)
+    return docs, train, cut_lineage(splits.sample_by_word_budget(pool, VAL_WORDS, SEED + 1))
 
 
 @query("budget_sample", _BUDGET + "SELECT doc_id, n_words, before FROM train")
@@ -153,8 +155,8 @@ def budget_val(spark, sf):
 @query(
     "split_report",
     _BUDGET + """, t AS (SELECT SUM(n_words) AS total FROM d),
-    p AS (SELECT 'train' AS split, SUM(n_words) AS n_words FROM train
-      UNION ALL SELECT 'val', SUM(n_words) FROM val),
+    p AS (SELECT 'train' AS split, COALESCE(SUM(n_words), 0) AS n_words FROM train
+      UNION ALL SELECT 'val', COALESCE(SUM(n_words), 0) FROM val),
     a AS (FROM p UNION ALL SELECT 'unused', (SELECT total FROM t) - (SELECT SUM(n_words) FROM p))
     SELECT split, CAST(n_words AS BIGINT) AS n_words, ROUND(100.0::DOUBLE * n_words / (SELECT total FROM t), 6) AS percent
     FROM a""",
