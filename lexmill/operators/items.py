@@ -11,7 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.functions import text as tx
 from lexmill.schemas import CLASSIFICATION_FIELDS
 from lexmill.session import broadcast_if_small
 
@@ -220,7 +219,3 @@ def manifest_to_long(manifest: DataFrame, trial: str = "trial") -> DataFrame:
         F.regexp_extract("_column", r"(\d+)$", 1).cast("int").alias("idx"),
         "value",
     )
-
-
-def words_in(c: Column) -> Column:
-    return tx.words(F.lower(c))

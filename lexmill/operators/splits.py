@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as tx
@@ -179,7 +179,3 @@ def join_articles(df: DataFrame, text: str = "text") -> DataFrame:
 
 def marked_stream(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn(text, tx.add_document_markers(F.col(text)))
-
-
-def seeded_order(df: DataFrame, seed: int, *keys: str) -> list[Column]:
-    return [tx.seeded_key(seed, *[F.col(k) for k in keys]), *[F.col(k) for k in keys]]

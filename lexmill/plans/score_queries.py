@@ -344,7 +344,6 @@ def _scores(spark, sf):
 
 def _ranking_items(spark, sf):
     idx = F.floor(F.col("vec_id") / 4)
-    names = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda c: F.concat_ws("-", idx.cast("string"), c.cast("string")))
     return table(spark, sf, "embeddings").select(idx.alias("_i")).distinct().select(
         F.lit("ranking").alias("task"), F.concat(F.lit("u"), (F.col("_i") % 6).cast("string")).alias("uid"),
         F.col("_i").alias("idx"), F.lit(0).alias("label"),
