@@ -1,6 +1,6 @@
 """Personal data: fixed patterns as seeds, and bootstrapped contextual extraction. Column functions only.
 
-The words before a seed (one and two of them) are lexical patterns. Other tokens with digits are instances that patterns may
+The labels and content words before a seed are lexical patterns. Other tokens with digits are instances that patterns may
 introduce. In the graph of patterns and instances scores go back and forth ROUNDS times: a pattern's score is the mean score
 of what it introduces, shrunk by one unseen instance of score 0; an instance's score is the noisy-or over its patterns; seeds
 keep score 1. Tokens behind a pattern of at least CONFIDENT whose support is MIN_SEEDS distinct seeds are identifiers of kind
@@ -63,12 +63,26 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def _patterns(text: Column, start: Column) -> Column:
-    """The last word and the last two words before a position, lower-cased; words are runs of letters."""
+    """Lexical patterns that end at a position, lower-cased; words are runs of letters.
+
+    If a label mark (``:``, ``=``, ``#``) stands between, the last word and the last two words with the mark; else the last two
+    words if both are content words by their length, as function words stand before anything.
+    """
     from_ = F.greatest(start - BEFORE, F.lit(0))
-    words = F.regexp_extract_all(F.lower(F.substring(text, from_ + 1, start - from_)), F.lit(r"\p{L}+"), F.lit(0))
-    return let(words, lambda w: F.filter(F.array(
-        F.when(F.size(w) >= 1, F.array_join(F.slice(w, -1, 1), " ")), F.when(F.size(w) >= 2, F.array_join(F.slice(w, -2, 2), " ")),
-    ), lambda p: p.isNotNull()))
+
+    def of(before: Column) -> Column:
+        mark = F.regexp_extract(before, r"([:=#])[^\p{L}:=#]{0,4}\z", 1)
+        words = F.regexp_extract_all(before, F.lit(r"\p{L}+"), F.lit(0))
+        one = lambda w: F.try_element_at(w, F.lit(-1))
+        two = lambda w: F.array_join(F.slice(w, -2, 2), " ")
+        long_ = lambda w: (F.size(w) >= 2) & (F.length(F.try_element_at(w, F.lit(-1))) >= 4) & (F.length(F.try_element_at(w, F.lit(-2))) >= 4) & (F.length(two(w)) >= 10)
+        return let(words, lambda w: F.filter(F.array(
+            F.when((mark != "") & (F.size(w) >= 1), F.concat(one(w), mark)),
+            F.when((mark != "") & (F.size(w) >= 2), F.concat(two(w), mark)),
+            F.when((mark == "") & long_(w), two(w)),
+        ), lambda p: p.isNotNull()))
+
+    return let(F.lower(F.substring(text, from_ + 1, start - from_)), of)
 
 
 def scanned(docs: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Shards of equal size by vector bin packing.
 
-Bytes, words and rows are balanced together. Documents with equal text form a group. Groups that would fill a large part of a
-shard are split by a hash of the document; groups (or parts) of at least ``1 / FINE`` of a shard in any measure are packed one
+Bytes, words and rows are balanced together. Documents with equal text form a group and share a shard, unless the group is larger than
+a shard, when it is split by a hash of the document. Groups (or parts) of at least ``1 / FINE`` of a shard in any measure are packed one
 by one, and the many small ones are packed as cells of groups chosen by a hash of the text. So the packing list has at most
 ``shards * FINE * 4`` large units and ``shards * FINE`` cells, whatever the corpus; it is packed on the driver, largest first,
 each unit to the shard where the dot product of its size and the residual capacity is highest.
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lexmill.llm.common import WORD, slots, stored
 
 FINE = 256
-PARTS = 8  # a group is split if it is over 1 / PARTS of a shard's capacity in any measure
+PARTS = 2  # a group that exceeds a shard's capacity in any measure is split into parts of about 1 / PARTS of it
 MEASURES = ("bytes", "words", "rows")
 WEIGHTS = (1.0, 0.3, 0.1)  # of the measures in the dot product: bytes must be near equal, the others follow
 
@@ -68,8 +68,8 @@ def assign_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
     share = F.greatest(*[F.col(m) / F.lit(capacity[m]) for m in MEASURES])
 
     groups = stored(rows.groupBy("group").agg(*sums), "groups")
-    # At most shards * PARTS * 3 groups are over the bound: their sizes add up to no more than the corpus in each measure.
-    hot = {r["group"]: int(np.ceil(r["share"] * PARTS)) for r in groups.withColumn("share", share).where(F.col("share") > 1 / PARTS).select("group", "share").collect()}
+    # At most shards * 3 groups are over the bound: their sizes add up to no more than the corpus in each measure.
+    hot = {r["group"]: int(np.ceil(r["share"] * PARTS)) for r in groups.withColumn("share", share).where(F.col("share") > 1).select("group", "share").collect()}
     parts = spark.createDataFrame(list(hot.items()) or [], "group bigint, parts int")
     marked = rows.join(F.broadcast(parts), "group", "left").withColumn("part", F.coalesce(F.pmod("own", F.col("parts")).cast("int"), F.lit(0))).drop("parts")
     hot_rows = marked.join(F.broadcast(parts.select("group")), "group", "left_semi")
