@@ -23,6 +23,7 @@ from lexmill.llm.common import slots, stored
 
 END = 2
 ITERATIONS = 400
+ROUND_UP = 0.25  # fractions of a repeat count from here on become one repeat; the rest is left to best fit
 _TOKENIZERS: dict[str, Encoder] = {}
 
 
@@ -172,9 +173,9 @@ def plan(histogram: np.ndarray, limit: int) -> tuple[list[tuple[int, ...]], list
         if x[i] < 1:
             break
         take(shaped[i], min(int(x[i]), available(shaped[i])))
-    for i in np.argsort(-(x - np.floor(x)), kind="stable"):  # then the largest fractions, one repeat each
-        if x[i] <= 1e-3:
-            continue
+    for i in np.argsort(-(x - np.floor(x)), kind="stable"):  # then the larger fractions, one repeat each
+        if x[i] - np.floor(x[i]) < ROUND_UP:
+            break
         take(shaped[i], min(1, available(shaped[i])))
     # The residual by best fit: the longest length left, filled with the longest that fits, repeated while the counts allow.
     while left.any():
