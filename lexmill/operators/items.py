@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.schemas import CLASSIFICATION_FIELDS
-from lexmill.session import broadcast_if_small
 
 Decoder = Callable[..., DataFrame]
 NO_TEXT = "string"
@@ -196,7 +195,7 @@ def vocab_filter(
     tokens = items.select(
         key, F.explode_outer(F.array_distinct(F.regexp_extract_all(text, F.lit(token_pattern), F.lit(1)))).alias("word")
     ).where("word is not null")
-    known = broadcast_if_small(vocab.select("word").distinct())
+    known = vocab.select("word").distinct()
     bad = tokens.join(known, "word", "left_anti").select(key).distinct()
     return items.join(bad, key, "left_anti")
 

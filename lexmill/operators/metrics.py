@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import text as tx
 from lexmill.operators.ordering import dense_positions, id_groups
 
+DIGITS = 9  # to which accuracies are compared
 SPLITS = ("regular", "ambiref", "move_contents")
 
 
@@ -45,8 +46,11 @@ def prefix_macro_accuracy(
 
 
 def best_temperature(accuracies: DataFrame, keys: tuple[str, ...] = ("task",)) -> DataFrame:
-    """Highest accuracy, lowest temperature among equals; NaN never wins."""
-    order = F.struct("accuracy", -F.col("temperature"))
+    """Highest accuracy, lowest temperature among equals; NaN never wins.
+
+    Accuracies are compared to nine digits: the last bits of a mean follow the order of a sum, which a shuffle may change.
+    """
+    order = F.struct(F.round("accuracy", DIGITS), -F.col("temperature"))
     return (
         accuracies.where(~F.isnan("accuracy") & (F.col("accuracy") > -1))
         .groupBy(*keys)
@@ -57,8 +61,8 @@ def best_temperature(accuracies: DataFrame, keys: tuple[str, ...] = ("task",)) -
 def best_checkpoint(
     history: DataFrame, metric: str, keys: tuple[str, ...], epoch: str = "epoch", higher_is_better: bool = True
 ) -> DataFrame:
-    """First epoch that is strictly better than all before; NaN never wins."""
-    value = F.col(metric) if higher_is_better else -F.col(metric)
+    """First epoch that is strictly better, to nine digits, than all before; NaN never wins."""
+    value = F.round(F.col(metric) if higher_is_better else -F.col(metric), DIGITS)
     return (
         history.where(F.col(metric).isNotNull() & ~F.isnan(metric))
         .groupBy(*keys)

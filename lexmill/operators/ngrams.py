@@ -11,14 +11,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexmill.functions import text as tx
-from lexmill.session import broadcast_if_small
+
+# Marks that end a sentence, and what may close a quotation or bracket behind them.
+ENDS = ".!?。！？।؟"
+CLOSERS = r"\"'”’»)\]}」』）"
 
 
 def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Sentences cut after . ! ? and white space, as white-space separated tokens."""
+    """Sentences cut after a sentence mark (with closing quotes or brackets) and white space, as white-space separated tokens.
+
+    After the marks of scripts without blanks the white space may be missing.
+    """
     if text not in docs.columns:
         raise ValueError(f"column '{text}' not found, there is: {docs.columns}")
-    parts = F.split(text, rf"(?<=[.!?])[{tx.SPACE}]+")
+    parts = F.split(text, rf"(?<=[{ENDS}][{CLOSERS}]{{0,3}})[{tx.SPACE}]+|(?<=[。！？])(?![{CLOSERS}。！？{tx.SPACE}]|$)")
     return (
         docs.select(key, F.posexplode_outer(parts).alias("sent_no", "sentence"))
         .where("sentence is not null")
@@ -54,7 +60,7 @@ def prefix_windows(
     if next_in is None:
         return exploded
     words = next_in.select(F.col("word").alias("next")).distinct()
-    return exploded.join(broadcast_if_small(words), "next", "left_semi")
+    return exploded.join(words, "next", "left_semi")
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -161,7 +167,7 @@ def _select_contexts(
     ``windows`` must hold every window of the corpus if shares inside the context are wanted; the
     pair counts that feed the ranking are restricted to the target words before they are built.
     """
-    targets = broadcast_if_small(words.select(F.col("word").alias("next")).distinct())
+    targets = words.select(F.col("word").alias("next")).distinct()
     pairs = (
         windows.where(F.col("context_size") >= min_window)
         .join(targets, "next", "left_semi")
@@ -197,7 +203,7 @@ def with_context_share(selected: DataFrame, windows: DataFrame) -> DataFrame:
     """Add the share of the word inside each selected context, counted over all windows."""
     contexts = selected.select("context").distinct()
     totals = (
-        windows.join(broadcast_if_small(contexts), "context", "left_semi")
+        windows.join(contexts, "context", "left_semi")
         .groupBy("context").agg(F.count(F.lit(1)).alias("context_count"))
     )
     share = F.col("count") / F.col("context_count")
@@ -226,7 +232,7 @@ def contexts_per_word(selected: DataFrame, words: DataFrame) -> DataFrame:
 def filter_spelled_words(words: DataFrame, lexicon: DataFrame, word: str = "word") -> DataFrame:
     """Words whose lower case is in the lexicon (column ``word``)."""
     known = lexicon.select(F.lower("word").alias("_known")).distinct()
-    return words.join(broadcast_if_small(known), F.lower(word) == F.col("_known"), "left_semi")
+    return words.join(known, F.lower(word) == F.col("_known"), "left_semi")
 
 
 def words_with_enough_contexts(contexts: DataFrame, min_contexts: int = 0) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as tx
 from lexmill.operators.ordering import dense_positions, hash_groups, id_groups, running_total
-from lexmill.session import broadcast_if_small
 
 
 def split_articles(df: DataFrame, text: str = "text") -> DataFrame:
@@ -75,13 +74,13 @@ def exclude_selected(
     digest = F.sha2(text, 256)
     taken = (
         docs.select(key, digest.alias("_digest"))
-        .join(broadcast_if_small(selected.select(key)), key, "left_semi")
+        .join(selected.select(key), key, "left_semi")
         .select("_digest")
         .distinct()
     )
     return (
         docs.withColumn("_digest", digest)
-        .join(broadcast_if_small(taken), "_digest", "left_anti")
+        .join(taken, "_digest", "left_anti")
         .drop("_digest")
     )
 

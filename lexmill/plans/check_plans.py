@@ -12,6 +12,7 @@ from lexmill.functions import text as tx
 from lexmill.operators import metrics, stats, validation
 from lexmill.plans import sqlparts as sq
 from lexmill.plans.registry import query, table
+from lexmill.session import shared_path
 from lexmill.streaming import incremental
 
 TASK, TRACK = "turns", "strict"
@@ -231,27 +232,38 @@ def stream_new_pages(spark, sf):
     return incremental.drain(incremental.new_pages(pages)).select("url")
 
 
-@query(
-    "stream_ingest_rate",
-    """SELECT start, n FROM (SELECT time_bucket(INTERVAL '1 minute', ts) AS start, COUNT(*) AS n FROM events GROUP BY 1)
-    WHERE start + INTERVAL '1 minute' <= (SELECT MAX(ts) - INTERVAL '10 minutes' FROM events)""",
-)
+@query("stream_ingest_rate", "SELECT time_bucket(INTERVAL '1 minute', ts) AS start, COUNT(*) AS n FROM events GROUP BY 1")
 def stream_ingest_rate(spark, sf):
     events = _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return incremental.drain(incremental.ingest_rate(events))
+    updates = incremental.drain(incremental.ingest_rate(events), "update")
+    return incremental.latest(updates, ["start"])
 
 
 @query(
     "stream_ingest_sessions",
     """WITH g AS (SELECT event_type, ts, CASE WHEN ts < LAG(ts) OVER w + INTERVAL '10 minutes' THEN 0 ELSE 1 END AS new
       FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
-    s AS (SELECT event_type, ts, SUM(new) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g),
-    r AS (SELECT event_type, MIN(ts) AS start, MAX(ts) + INTERVAL '10 minutes' AS "end", COUNT(*) AS n FROM s GROUP BY event_type, k)
-    SELECT event_type, start, "end", n FROM r WHERE "end" <= (SELECT MAX(ts) - INTERVAL '10 minutes' FROM events)""",
+    s AS (SELECT event_type, ts, SUM(new) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+    SELECT event_type, MIN(ts) AS start, MAX(ts) + INTERVAL '10 minutes' AS "end", COUNT(*) AS n FROM s GROUP BY event_type, k""",
 )
 def stream_ingest_sessions(spark, sf):
-    events = _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return incremental.drain(incremental.ingest_sessions(events, "event_type"))
+    """All sessions: a last event far behind the others moves the watermark past them, so that they leave the state."""
+    timed = lambda df: df.select("event_type", F.col("ts").cast("timestamp").alias("ts"))
+    last = timed(table(spark, sf, "events")).agg((F.max("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts")).withColumn("event_type", F.lit("(end)"))
+    events = incremental.with_last_row(timed(_stream(spark, sf, "events")), last)
+    return incremental.drain(incremental.ingest_sessions(events, "event_type")).where("event_type <> '(end)'")
+
+
+@query("stream_append_rows", "SELECT 'day' || day(ts) AS step, event_id, value FROM events")
+def stream_append_rows(spark, sf):
+    """Steps that span several batches, then all rows once more as a replay: no row is lost or doubled."""
+    rows = table(spark, sf, "events").select(F.concat(F.lit("day"), F.dayofmonth("ts").cast("string")).alias("step"), "event_id", "value")
+    source, target = shared_path(spark, "results-in"), shared_path(spark, "results-out")
+    rows.repartition(6, "event_id").write.parquet(source)
+    for run in ("first", "replay"):
+        stream = incremental.read_stream(spark, source, rows.schema, files_per_trigger=2)
+        incremental.append_new_rows(stream, target, f"{target}-{run}", ["step", "event_id"]).awaitTermination()
+    return spark.read.parquet(target).select("step", "event_id", "value")
 
 
 @query(

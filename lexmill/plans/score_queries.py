@@ -405,7 +405,7 @@ def prefix_macro_accuracy(spark, sf):
 
 @query(
     "best_temperature",
-    f"SELECT arg_max(temperature, ROW(accuracy, -temperature)) AS temperature, ROUND(MAX(accuracy), 6) AS accuracy FROM {_MACRO}",
+    f"SELECT arg_max(temperature, ROW(ROUND(accuracy, 9), -temperature)) AS temperature, ROUND(MAX(accuracy), 6) AS accuracy FROM {_MACRO}",
 )
 def best_temperature(spark, sf):
     best = metrics.best_temperature(metrics.macro_accuracy(_facets(spark, sf)))

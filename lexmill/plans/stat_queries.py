@@ -94,14 +94,14 @@ def multiclass_mcc(spark, sf):
 
 @query(
     "best_checkpoint",
-    """WITH h AS (SELECT user_id AS model, CAST(day(ts) AS INTEGER) AS epoch, ROUND(AVG(value), 6) AS metric FROM events GROUP BY ALL)
-    SELECT model, arg_max(epoch, ROW(metric, -epoch)) AS epoch, MAX(metric) AS metric FROM h GROUP BY model""",
+    """WITH h AS (SELECT user_id AS model, CAST(day(ts) AS INTEGER) AS epoch, AVG(value) AS metric FROM events GROUP BY ALL)
+    SELECT model, arg_max(epoch, ROW(ROUND(metric, 9), -epoch)) AS epoch, ROUND(MAX(metric), 6) AS metric FROM h GROUP BY model""",
 )
 def best_checkpoint(spark, sf):
     history = table(spark, sf, "events").groupBy(
         F.col("user_id").alias("model"), F.dayofmonth("ts").alias("epoch")
-    ).agg(F.round(F.avg("value"), 6).alias("metric"))
-    return metrics.best_checkpoint(history, "metric", ("model",))
+    ).agg(F.avg("value").alias("metric"))
+    return metrics.best_checkpoint(history, "metric", ("model",)).withColumn("metric", F.round("metric", 6))
 
 
 # ---- regressions ---------------------------------------------------------------------------------
@@ -152,8 +152,12 @@ def predictor_report(spark, sf):
 
 # ---- trials: four dimensions per vector as four images -------------------------------------------
 
-_VALUES = "list_transform(embedding[1:4], lambda x: x::DOUBLE * 10)"
-_LOGITS = "list_transform(embedding[5:8], lambda x: x::DOUBLE)"
+# A trial is one of the 16 groups of four dimensions of a vector. The model's values of a trial are those of the vector before, so
+# the trials of the first vector have no partner.
+_GROUPS = 16
+_VALUES = "list_transform(a.embedding[4 * g + 1:4 * g + 4], lambda x: x::DOUBLE * 10)"
+_LOGITS = "list_transform(b.embedding[4 * g + 1:4 * g + 4], lambda x: x::DOUBLE)"
+_EACH = f"(SELECT unnest(range({_GROUPS})) AS g)"
 
 
 def _softmax_sql(xs: str, beta: str) -> str:
@@ -161,34 +165,42 @@ def _softmax_sql(xs: str, beta: str) -> str:
     return f"list_transform({e}, lambda w: w / list_sum({e}))"
 
 
+def _groups(spark, sf):
+    """(vec_id, label, g, four): all groups of four dimensions."""
+    e = nm.as_doubles(F.col("embedding"))
+    fours = F.transform(F.sequence(F.lit(0), F.lit(_GROUPS - 1)), lambda g: F.slice("e", g * 4 + 1, F.lit(4)))
+    return table(spark, sf, "embeddings").select("vec_id", "label", e.alias("e")).select("vec_id", "label", F.posexplode(fours).alias("g", "four"))
+
+
 def _trials(spark, sf):
-    vectors = table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("trial"), "label", nm.as_doubles(F.col("embedding")).alias("e")
-    )
-    human = vectors.select("trial", "label", F.transform(F.slice("e", 1, 4), lambda x: x * 10).alias("values"))
-    logits = vectors.where("trial % 10 <> 9").select("trial", F.slice("e", 5, 4).alias("values"))
+    groups = _groups(spark, sf)
+    trial = lambda v: (v * _GROUPS + F.col("g")).alias("trial")
+    human = groups.select(trial(F.col("vec_id")), "label", F.transform("four", lambda x: x * 10).alias("values"))
+    logits = groups.select(trial(F.col("vec_id") + 1), F.col("four").alias("values"))
     return trials.softmax_images(human), logits
 
 
 _KL = f"""(SELECT label, beta, list_sum(list_transform(p, lambda a, i: greatest(a, 1e-10::DOUBLE) *
     ln(greatest(a, 1e-10::DOUBLE) / greatest(q[i], 1e-10::DOUBLE)))) AS kl
-  FROM (SELECT label, beta, {_softmax_sql(_VALUES, '1.0::DOUBLE')} AS p, {_softmax_sql(_LOGITS, 'beta')} AS q
-    FROM embeddings, (SELECT unnest([{', '.join(f'{b}::DOUBLE' for b in BETAS)}]) AS beta) WHERE vec_id % 10 <> 9))"""
+  FROM (SELECT a.label, beta, {_softmax_sql(_VALUES, '1.0::DOUBLE')} AS p, {_softmax_sql(_LOGITS, 'beta')} AS q
+    FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id - 1, {_EACH}, (SELECT unnest([{', '.join(f'{b}::DOUBLE' for b in BETAS)}]) AS beta)))"""
 
 
 @query(
     "trial_accuracy",
-    """SELECT label, COUNT(*) AS n_trials, ROUND(AVG(CASE WHEN embedding[1] > embedding[2] AND embedding[1] > embedding[3]
-      AND embedding[1] > embedding[4] THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy FROM embeddings GROUP BY label""",
+    f"""SELECT label, COUNT(*) AS n_trials, ROUND(AVG(CASE WHEN v[1] > v[2] AND v[1] > v[3]
+      AND v[1] > v[4] THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy
+    FROM (SELECT label, embedding[4 * g + 1:4 * g + 4] AS v FROM embeddings, {_EACH}) GROUP BY label""",
 )
 def trial_accuracy(spark, sf):
-    rows = table(spark, sf, "embeddings").select("label", F.slice("embedding", 1, 4).alias("values"))
+    rows = _groups(spark, sf).select("label", F.col("four").alias("values"))
     return trials.trial_accuracy(rows, ("label",)).withColumn("accuracy", F.round("accuracy", 6))
 
 
 @query(
     "softmax_images",
-    f"SELECT vec_id AS trial, ROUND(p[1], 6) AS p1, ROUND(p[4], 6) AS p4 FROM (SELECT vec_id, {_softmax_sql(_VALUES, '1.0::DOUBLE')} AS p FROM embeddings)",
+    f"""SELECT vec_id * {_GROUPS} + g AS trial, ROUND(p[1], 6) AS p1, ROUND(p[4], 6) AS p4
+    FROM (SELECT vec_id, g, {_softmax_sql(_VALUES, '1.0::DOUBLE')} AS p FROM embeddings a, {_EACH})""",
 )
 def softmax_images(spark, sf):
     human, _ = _trials(spark, sf)
@@ -211,13 +223,13 @@ def kl_by_beta(spark, sf):
 
 @query(
     "best_grid_beta_by_group",
-    f"""SELECT label, arg_min(beta, ROW(m, beta)) AS beta, MIN(m) AS mean_kl FROM
-    (SELECT label, beta, ROUND(AVG(kl), 6) AS m FROM {_KL} GROUP BY ALL) GROUP BY label""",
+    f"""SELECT label, arg_min(beta, ROW(ROUND(m, 9), beta)) AS beta, ROUND(MIN(m), 6) AS mean_kl FROM
+    (SELECT label, beta, AVG(kl) AS m FROM {_KL} GROUP BY ALL) GROUP BY label""",
 )
 def best_grid_beta_by_group(spark, sf):
     human, logits = _trials(spark, sf)
-    by_beta = trials.kl_by_beta(human, logits, BETAS, ("label",)).withColumn("mean_kl", F.round("mean_kl", 6))
-    return trials.best_of_grid(by_beta, ("label",))
+    by_beta = trials.kl_by_beta(human, logits, BETAS, ("label",))
+    return trials.best_of_grid(by_beta, ("label",)).withColumn("mean_kl", F.round("mean_kl", 6))
 
 
 @query("best_beta")
@@ -234,15 +246,16 @@ def best_beta_by_group(spark, sf):
 # ---- similarity ----------------------------------------------------------------------------------
 
 # Rated pairs: part and supplier of every line item as two of the vectors, the mean quantity as rating.
-_PAIRS = """(SELECT greatest(a, b) AS i, least(a, b) AS j, AVG(l_quantity) AS rating FROM (SELECT l_partkey % 500 AS a,
-  (l_suppkey * 7) % 500 AS b, l_quantity FROM lineitem) WHERE a <> b GROUP BY ALL)"""
+_PAIRS = """(SELECT greatest(a, b) AS i, least(a, b) AS j, AVG(l_quantity) AS rating FROM (SELECT l_partkey % n AS a,
+  (l_suppkey * 7) % n AS b, l_quantity FROM lineitem, (SELECT MAX(vec_id) + 1 AS n FROM embeddings)) WHERE a <> b GROUP BY ALL)"""
 _SIMS = f"""(SELECT i, j, rating, list_sum(list_transform(x.embedding, lambda v, k: v::DOUBLE * y.embedding[k])) /
     SQRT(list_sum(list_transform(x.embedding, lambda v: v::DOUBLE * v)) * list_sum(list_transform(y.embedding, lambda v: v::DOUBLE * v))) AS sim
   FROM {_PAIRS} p JOIN embeddings x ON x.vec_id = i JOIN embeddings y ON y.vec_id = j)"""
 
 
 def _rated_pairs(spark, sf):
-    a, b = F.col("l_partkey") % 500, (F.col("l_suppkey") * 7) % 500
+    n = table(spark, sf, "embeddings").agg(F.max("vec_id") + 1).scalar()
+    a, b = F.col("l_partkey") % n, (F.col("l_suppkey") * 7) % n
     pairs = table(spark, sf, "lineitem").select(
         F.greatest(a, b).alias("i"), F.least(a, b).alias("j"), "l_quantity"
     ).where("i <> j").groupBy("i", "j").agg(F.avg("l_quantity").alias("rating"))
@@ -282,23 +295,22 @@ def rsa_pearson(spark, sf):
 
 # ---- age of acquisition --------------------------------------------------------------------------
 
-# Words are users; "16".."30" are the share of clicks and views per hour of the day.
+# Words are users; "16".."30" are the share of clicks and views per hour of the day (24 hours on 15 ages).
 _HOURS = range(16, 31)
 
 
 def _cdi(spark, sf):
-    hour = (F.hour("ts") + 16).alias("hour")
+    hour = (F.hour("ts") % 15 + 16).alias("hour")
     known = F.col("event_type").isin("click", "view").cast("double")
     return (
         table(spark, sf, "events").select(F.concat(F.lit("w"), F.col("user_id").cast("string")).alias("word"), hour, known.alias("known"))
-        .where("hour <= 30")
         .groupBy("word").pivot("hour", list(_HOURS)).agg(F.round(F.avg("known"), 6))
     )
 
 
-_LONG = """(SELECT 'w' || user_id AS word, CAST(hour(ts) + 16 AS INTEGER) AS age,
+_LONG = """(SELECT 'w' || user_id AS word, CAST(hour(ts) % 15 + 16 AS INTEGER) AS age,
   ROUND(AVG(CASE WHEN event_type IN ('click', 'view') THEN 1.0::DOUBLE ELSE 0 END), 6) AS proportion
-  FROM events WHERE hour(ts) <= 14 GROUP BY ALL)"""
+  FROM events GROUP BY ALL)"""
 
 
 @query("cdi_unpivot", f"SELECT word, age, proportion FROM {_LONG}")

@@ -1,15 +1,10 @@
-"""Session settings, checkpoints and size-checked broadcasts shared by the operators."""
+"""Session settings and shared folders of the operators."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Rows up to which a side is broadcast after its size has been checked.
-BROADCAST_ROWS = 200_000
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -31,15 +26,23 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    current = spark.sparkContext.getCheckpointDir()
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where that is unset, a folder of the default file system; on a cluster this must not be a local one.
+    """
+    context = spark.sparkContext
+    current = context.getCheckpointDir()
     if current:
         return current
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="lexmill-checkpoint-")
-    spark.sparkContext.setCheckpointDir(root)
-    return spark.sparkContext.getCheckpointDir() or root
+        jvm = context._jvm
+        system = jvm.org.apache.hadoop.fs.FileSystem.get(context._jsc.hadoopConfiguration())
+        if system.getUri().getScheme() == "file" and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = system.makeQualified(jvm.org.apache.hadoop.fs.Path(f"/tmp/lexmill-{uuid.uuid4().hex}")).toString()
+    context.setCheckpointDir(root)
+    return context.getCheckpointDir() or root
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -53,13 +56,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint behind a row check; above the bound the join stays a shuffle join."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Repartition a scan that has fewer partitions than there are cores; larger scans stay as they are.
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -23,7 +26,8 @@ def new_pages(pages: DataFrame, url: str = "url", ts: str = "ts", delay: str = "
 
 
 def ingest_rate(events: DataFrame, ts: str = "ts", width: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
-    """Rows per tumbling window; a window is emitted once, when the watermark has passed it."""
+    """Rows per tumbling window. In append mode a window is emitted once, when the watermark has passed it; in update mode at
+    every change."""
     return events.withWatermark(ts, delay).groupBy(F.window(ts, width)).agg(F.count(F.lit(1)).alias("n")).select(
         F.col("window.start").alias("start"), "n"
     )
@@ -37,6 +41,17 @@ def ingest_sessions(events: DataFrame, key: str, ts: str = "ts", gap: str = "10
     )
 
 
+def with_last_row(events: DataFrame, last: DataFrame, name: str = "last") -> DataFrame:
+    """The stream with the rows of ``last`` as a second source.
+
+    A row far behind all events in time moves the watermark past them, so that a drained stream leaves nothing in its state.
+    """
+    spark = events.sparkSession
+    path = shared_path(spark, name)
+    last.select(*events.columns).write.parquet(path)
+    return events.unionByName(spark.readStream.schema(events.schema).parquet(path))
+
+
 def running_facet_accuracy(predictions: DataFrame) -> DataFrame:
     """Totals per facet value while predictions arrive (update mode); the state has one row per value."""
     return (
@@ -47,26 +62,31 @@ def running_facet_accuracy(predictions: DataFrame) -> DataFrame:
     )
 
 
-def append_new_steps(results: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append result rows to the table at ``path``, folder by step, skipping steps it has already.
+def append_new_rows(results: DataFrame, path: str, checkpoint: str, keys: Sequence[str]) -> StreamingQuery:
+    """Append result rows to the table at ``path``, leaving out rows whose ``keys`` (step, word, context) it has already.
 
-    Every batch writes below its own ``batch`` folder in overwrite mode, so a replayed batch replaces
-    what its first try left behind instead of adding it twice.
+    A step may arrive over any number of batches, so how many files a batch takes does not change the result. Every batch
+    writes below its own folder (by the query's state and the batch) in overwrite mode, so a replayed batch replaces what its
+    first try left behind, and a query with fresh state adds to the table. Null keys equal each other.
     """
+    own = hashlib.md5(checkpoint.encode()).hexdigest()
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        done = _known_steps(spark, path, batch_id)
-        fresh = batch if done is None else batch.join(done, "step", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        fresh = batch.dropDuplicates(list(keys))
+        done = _known_rows(batch.sparkSession, path, own, batch_id, keys)
+        if done is not None:
+            same = [fresh[k].eqNullSafe(done[k]) for k in keys]
+            fresh = fresh.join(done, same, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{path}/run={own}/batch={batch_id}")
 
     return results.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _known_steps(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+def _known_rows(spark: SparkSession, path: str, own: str, batch_id: int, keys: Sequence[str]) -> DataFrame | None:
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
         return None
-    return spark.read.parquet(path).where(F.col("batch") != batch_id).select("step").distinct()
+    return spark.read.parquet(path).where((F.col("run") != own) | (F.col("batch") != batch_id)).select(*keys)
 
 
 def drain(stream: DataFrame, output_mode: str = "append", name: str = "stream") -> DataFrame:

@@ -143,17 +143,27 @@ def test_page_stream_skips_seen_urls_across_batches(spark, tmp_path):
     assert sorted(urls) == [f"u{k}" for k in range(5)]
 
 
+def _append(spark, tmp_path, state, files_per_trigger):
+    stream = incremental.read_stream(spark, str(tmp_path / "in"), "step string, v int", files_per_trigger=files_per_trigger)
+    incremental.append_new_rows(stream, str(tmp_path / "out"), str(tmp_path / state), ["step", "v"]).awaitTermination()
+    return {r["step"]: (r["count"], r["d"]) for r in spark.read.parquet(str(tmp_path / "out")).groupBy("step").agg(F.count("*").alias("count"), F.countDistinct("v").alias("d")).collect()}
+
+
+def _add(spark, tmp_path, step, values):
+    spark.createDataFrame([(step, v) for v in values], "step string, v int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+
 def test_resumed_steps_are_not_added_twice(spark, tmp_path):
-    source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
-    def add(step):
-        spark.createDataFrame([(step, v) for v in range(4)], "step string, v int").coalesce(1).write.mode("append").parquet(source)
-    def run():
-        stream = incremental.read_stream(spark, source, "step string, v int")
-        incremental.append_new_steps(stream, target, state).awaitTermination()
-    add("chck_1M")
-    run()
-    add("chck_1M")
-    add("chck_2M")
-    run()
-    rows = spark.read.parquet(target).groupBy("step").count().collect()
-    assert {r["step"]: r["count"] for r in rows} == {"chck_1M": 4, "chck_2M": 4}
+    _add(spark, tmp_path, "chck_1M", range(4))
+    _append(spark, tmp_path, "state", 100)
+    _add(spark, tmp_path, "chck_1M", range(4))
+    _add(spark, tmp_path, "chck_2M", range(4))
+    assert _append(spark, tmp_path, "state", 100) == {"chck_1M": (4, 4), "chck_2M": (4, 4)}
+
+
+def test_a_step_over_several_batches_keeps_all_rows_also_in_a_replay(spark, tmp_path):
+    for i in range(6):
+        _add(spark, tmp_path, "chck_1M", range(10 * i, 10 * i + 10))
+    assert _append(spark, tmp_path, "state", 2) == {"chck_1M": (60, 60)}
+    # a query that lost its state reads everything again, in other batches
+    assert _append(spark, tmp_path, "fresh", 4) == {"chck_1M": (60, 60)}
