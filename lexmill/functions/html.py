@@ -7,11 +7,12 @@ skipped; character references are decoded. It is not a full parser of broken mar
 from __future__ import annotations
 
 import json
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexmill.functions.numeric import let
 from lexmill.functions.text import strip
 
 REFERENCE = r"&(#[xX][0-9a-fA-F]+|#[0-9]+|[A-Za-z][A-Za-z0-9]*);"
@@ -31,22 +32,22 @@ def container(html: Column, tag: str, attribute: str | None = None) -> Column:
     start = rf"(?is)<{tag}\b(?=[^>]*{attribute})[^>]*>" if attribute else rf"(?is)<{tag}\b[^>]*>"
     rest = F.get(F.split(without_invisible(html), start, 2), F.lit(1))
     parts = F.split(rest, rf"(?i)(?=</?{tag}\b)")
-    opened = F.struct(F.lit(1).alias("depth"), F.lit("").alias("text"))
-
     def step(acc: Column, part: Column) -> Column:
         change = F.when(part.rlike(rf"^(?i)</{tag}\b"), -1).when(part.rlike(rf"^(?i)<{tag}\b"), 1).otherwise(0)
-        depth = F.when(acc["depth"] > 0, acc["depth"] + change).otherwise(F.lit(0))
-        return F.struct(
-            depth.alias("depth"), F.when(depth > 0, F.concat(acc["text"], part)).otherwise(acc["text"]).alias("text")
-        )
+        depth = acc["depth"] + F.when(acc["end"] < 0, change).otherwise(0)
+        end = F.when((acc["end"] < 0) & (depth == 0), acc["at"]).otherwise(acc["end"])
+        return F.struct(depth.alias("depth"), (acc["at"] + 1).alias("at"), end.alias("end"))
 
-    return F.aggregate(parts, opened, step, lambda acc: acc["text"])
+    # only the number of parts before the matching end tag is folded; the text is joined once
+    opened = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("at"), F.lit(-1).alias("end"))
+    inside = lambda p: F.aggregate(p, opened, step, lambda acc: F.when(acc["end"] < 0, acc["at"]).otherwise(acc["end"]))
+    return let(parts, lambda p: F.array_join(F.slice(p, F.lit(1), inside(p)), ""))
 
 
 def decode_references(c: Column) -> Column:
     """Named and numeric character references become characters, in one pass; unknown ones stay."""
     pieces = F.split(c, REFERENCE)
-    names = F.from_json(F.lit(json.dumps({k: chr(v) for k, v in name2codepoint.items()})), "map<string,string>")
+    names = F.from_json(F.lit(json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";")})), "map<string,string>")
 
     def char(r: Column) -> Column:
         code = F.when(r.rlike("^#[xX]"), F.conv(F.substring(r, 3, 8), 16, 16)).otherwise(
@@ -72,9 +73,34 @@ def visible_text(html: Column) -> Column:
     return F.array_join(text_nodes(without_invisible(html)), "\n")
 
 
+def raw_text(html: Column) -> Column:
+    """All text between the tags as it stands, joined by nothing: a phrase may run through inline tags."""
+    nodes = F.split(without_invisible(html), r"<[^>]*>")
+    return F.array_join(F.transform(nodes, decode_references), "")
+
+
+_VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
+_OTHER = rf"""(?:\s+(?!href[\s=])[^\s=>"']+(?:\s*=\s*{_VALUE})?)*+"""
+
+
 def hrefs(html: Column) -> Column:
-    pattern = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""
-    return F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), decode_references)
+    """Values of the ``href`` attributes of ``a`` tags: in double or single quotes, or bare."""
+    found = F.regexp_extract_all(html, F.lit(rf"(?is)<a{_OTHER}\s+href\s*=\s*({_VALUE})"), F.lit(1))
+    plain = lambda v: F.when(v.rlike("^[\"']"), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
+    return F.transform(found, lambda v: decode_references(plain(v)))
+
+
+def without_dots(path: Column) -> Column:
+    """A path without ``.`` and ``..`` segments; a query or fragment behind it stays as it is."""
+    only, rest = F.regexp_extract(path, r"(?s)^([^?#]*)(.*)$", 1), F.regexp_extract(path, r"(?s)^([^?#]*)(.*)$", 2)
+
+    def step(kept: Column, part: Column) -> Column:
+        up = F.when(F.size(kept) > 1, F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(kept)
+        return F.when(part == ".", kept).when(part == "..", up).otherwise(F.array_append(kept, part))
+
+    ends_in_folder = only.rlike(r"(^|/)\.{1,2}$")
+    joined = F.array_join(F.aggregate(F.split(only, "/"), F.array().cast("array<string>"), step), "/")
+    return F.when(only.rlike(r"(^|/)\.{1,2}(/|$)"), F.concat(joined, F.when(ends_in_folder, F.lit("/")).otherwise(F.lit("")), rest)).otherwise(path)
 
 
 def resolve_url(base: Column, href: Column) -> Column:
@@ -82,12 +108,12 @@ def resolve_url(base: Column, href: Column) -> Column:
     scheme = F.regexp_extract(base, r"^([a-zA-Z][\w+.-]*:)", 1)
     host = F.regexp_extract(base, r"^([a-zA-Z][\w+.-]*://[^/?#]*)", 1)
     page = F.regexp_replace(base, r"[?#].*$", "")
-    folder = F.when(page == host, F.concat(host, F.lit("/"))).otherwise(F.regexp_replace(page, r"[^/]*$", ""))
+    folder = F.when(page == host, F.lit("/")).otherwise(F.substring(F.regexp_replace(page, r"[^/]*$", ""), F.length(host) + 1, F.length(page)))
     return (
         F.when(href.rlike(r"^[a-zA-Z][\w+.-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme, href))
-        .when(href.startswith("/"), F.concat(host, href))
+        .when(href.startswith("/"), F.concat(host, without_dots(href)))
         .when(href.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), href))
         .when(href.startswith("?"), F.concat(page, href))
-        .otherwise(F.concat(folder, href))
+        .otherwise(F.concat(host, without_dots(F.concat(folder, href))))
     )

@@ -49,7 +49,7 @@ def sigmoid(x: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 
 def fit_sigmoid(x, y, start, low=None, high=None, weights=None, steps: int = 1000) -> np.ndarray:
-    """Damped least squares for a/(1+exp(-b(x-c)))+d, kept inside the bounds by clipping."""
+    """Damped least squares for a/(1+exp(-b(x-c)))+d, kept inside the bounds by clipping; NaN if the steps run out."""
     x, y = np.asarray(x, float), np.asarray(y, float)
     w = np.ones_like(x) if weights is None else np.sqrt(np.asarray(weights, float))
     low = np.full(4, -np.inf) if low is None else np.asarray(low, float)
@@ -87,6 +87,8 @@ def fit_sigmoid(x, y, start, low=None, high=None, weights=None, steps: int = 100
         p, residual, cost, damping = trial, trial_residual, trial_cost, max(damping / 8, 1e-12)
         if done:
             break
+    else:
+        return np.full(4, np.nan)
     return p
 
 
@@ -136,7 +138,7 @@ def model_aoa(
 ) -> DataFrame:
     """log10 step at which a word's fitted learning curve is half way from chance to its best value.
 
-    Needs at least three points; NULL if the fit is not rising, the level is outside the curve, or
+    Needs at least four points, as the curve has four parameters; NULL if the fit does not converge or is not rising, the level is outside the curve, or
     the step lies outside the observed ones. Chance is log2 of the vocabulary size.
     """
     chance = math.log2(approximate_vocab)
@@ -144,7 +146,7 @@ def model_aoa(
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("step_num")
         out = None
-        if pdf["n"].sum() >= 3:
+        if pdf["n"].sum() >= 4:
             steps = pdf["step_num"].to_numpy(float)
             x, y, n = np.log10(steps + 1), -pdf["mean_y"].to_numpy(float), pdf["n"].to_numpy(float)
             best, worst = pdf["min_y"].min(), pdf["max_y"].max()

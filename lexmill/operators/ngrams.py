@@ -24,7 +24,7 @@ def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     """
     if text not in docs.columns:
         raise ValueError(f"column '{text}' not found, there is: {docs.columns}")
-    parts = F.split(text, rf"(?<=[{ENDS}][{CLOSERS}]{{0,3}})[{tx.SPACE}]+|(?<=[。！？])(?![{CLOSERS}。！？{tx.SPACE}]|$)")
+    parts = F.split(text, rf"(?<=[{ENDS}][{CLOSERS}]{{0,3}})[{tx.SPACE}]+|(?<=[。！？][{CLOSERS}]{{0,3}})(?![{CLOSERS}。！？{tx.SPACE}]|$)")
     return (
         docs.select(key, F.posexplode_outer(parts).alias("sent_no", "sentence"))
         .where("sentence is not null")

@@ -10,8 +10,8 @@ from lexmill.functions import text as tx
 
 # Fixed values of the encyclopedia the operators were made for; every one is a parameter below.
 NOT_FOUND = "Wikisource does not have a text with this exact name"
-CONTAINER = ("div", r"\bclass\s*=\s*[\"'](?:[^\"']*\s)?mw-parser-output(?:\s[^\"']*)?[\"']")
-TITLE = ("h1", r"\bid\s*=\s*[\"']firstHeading[\"']")
+CONTAINER = ("div", r"\sclass\s*=\s*[\"'](?:[^\"']*\s)?mw-parser-output(?:\s[^\"']*)?[\"']")
+TITLE = ("h1", r"\sid\s*=\s*[\"']firstHeading[\"']")
 LINK_PART = "/wiki/"
 LINK_STOP = ("File:", "Category:", "Template:", "Help:", "Vol_")
 INDEX_PART = "part_01"
@@ -21,9 +21,9 @@ BODY_MARK = "Volume"
 
 
 def drop_missing_pages(pages: DataFrame, message: str = NOT_FOUND, html: str = "html") -> DataFrame:
-    """Pages that have HTML and whose visible text does not contain the not-found message."""
+    """Pages that have HTML and whose text, read through inline tags, does not contain the not-found message."""
     present = F.col(html).isNotNull() & (F.col(html) != "")
-    return pages.where(present & ~hx.visible_text(F.col(html)).contains(message))
+    return pages.where(present & ~hx.raw_text(F.col(html)).contains(message))
 
 
 def extract_links(

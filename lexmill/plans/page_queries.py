@@ -30,13 +30,17 @@ def _visible(expr: str) -> str:
       lambda t: t <> ''), chr(10))"""
 
 
+def _raw(expr: str) -> str:
+    return f"array_to_string(list_transform(string_split_regex({_seen_html(expr)}, '<[^>]*>'), lambda t: {_decoded('t')}), '')"
+
+
 _ARTICLE = r"regexp_extract(html, '(?is)<article[^>]*>(.*)</article>', 1)"
 _HEADING = r"regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)"
 
 
 @query(
     "drop_missing_pages",
-    f"SELECT page_id, url FROM pages WHERE html IS NOT NULL AND html <> '' AND NOT contains({_visible('html')}, 'Ist')",
+    f"SELECT page_id, url FROM pages WHERE html IS NOT NULL AND html <> '' AND NOT contains({_raw('html')}, 'Ist')",
 )
 def drop_missing_pages(spark, sf):
     return pg.drop_missing_pages(table(spark, sf, "pages"), "Ist").select("page_id", "url")
@@ -93,14 +97,14 @@ def seen_url_skip(spark, sf):
     """SELECT volume, part, safe_title, page_id FROM (SELECT *, ROW_NUMBER() OVER (
       PARTITION BY volume, part, safe_title ORDER BY page_id DESC) AS rn FROM (
       SELECT page_id % 4 AS volume, page_id % 8 AS part, page_id,
-        left(regexp_replace(regexp_extract(url, '^[a-z]+://([^/]*)', 1), '[^\\p{L}\\p{N} _-]', '', 'g'), 3) AS safe_title
+        regexp_replace(regexp_extract(url, '^[a-z]+://([^/]*)', 1), '[^\\p{L}\\p{N} _-]', '', 'g') AS safe_title
       FROM pages)) WHERE rn = 1""".replace("\\\\", "\\"),
 )
 def articles_by_part(spark, sf):
     host = tx.safe_title(F.regexp_extract("url", "^[a-z]+://([^/]*)", 1))
     articles = table(spark, sf, "pages").select(
         (F.col("page_id") % 4).alias("volume"), (F.col("page_id") % 8).alias("part"), "page_id",
-        F.substring(host, 1, 3).alias("title"),
+        host.alias("title"),
     )
     return pg.articles_by_part(articles, ts="page_id").select("volume", "part", "safe_title", "page_id")
 

@@ -40,17 +40,17 @@ def clean_patterns(expr: str, decomposed: bool = False) -> str:
     return strip(e)
 
 
-def sentence_tokens(where: str = "") -> str:
-    """doc_id, sent_no, tokens: text cut after . ! ? and white space (no look-behind in RE2)."""
-    marked = rf"regexp_replace(text, '([.!?])[{SPACE}]+', '\1' || chr(1), 'g')"
+def sentence_tokens(where: str = "", source: str = "documents") -> str:
+    """doc_id, sent_no, tokens: text cut after a sentence mark, its closers and white space (no look-behind in RE2)."""
+    marked = rf"""regexp_replace(text, '([.!?。！？।؟]["''”’»)\]}}」』）]{{0,3}})[{SPACE}]+', '\1' || chr(1), 'g')"""
     return f"""SELECT doc_id, CAST(u.sent_no - 1 AS INTEGER) AS sent_no, {words('u.sentence')} AS tokens
-      FROM (SELECT doc_id, string_split({marked}, chr(1)) AS parts FROM documents {where}) d,
+      FROM (SELECT doc_id, string_split({marked}, chr(1)) AS parts FROM {source} {where}) d,
       LATERAL (SELECT unnest(d.parts) AS sentence, generate_subscripts(d.parts, 1) AS sent_no) u"""
 
 
-def windows(max_context: int, where: str = "") -> str:
+def windows(max_context: int, where: str = "", source: str = "documents") -> str:
     return f"""SELECT doc_id, sent_no, w.i AS i, w.next AS next, w.context AS context, w.size AS context_size
       FROM (SELECT doc_id, sent_no, unnest(list_transform(range(1, len(tokens)), lambda i: struct_pack(
         i := i, next := tokens[i + 1], size := least(i, {max_context}),
         context := array_to_string(tokens[greatest(i - {max_context}, 0) + 1 : i], ' ')))) AS w
-      FROM ({sentence_tokens(where)}) s)"""
+      FROM ({sentence_tokens(where, source)}) s)"""

@@ -346,16 +346,21 @@ def spelled_words(spark, sf):
 
 
 def flagship(spark, sf):
-    """Cleaned documents -> sentences -> contexts -> top contexts of the 50 most frequent words."""
+    """Cleaned documents -> sentences -> contexts -> top contexts of the words of the benchmark."""
     docs = table(spark, sf, "documents").select("doc_id", tx.clean_text(F.col("text")).alias("text"))
     windows = ngrams.prefix_windows(ngrams.sentences(docs), MAX_CONTEXT)
-    frequent = (
-        ngrams.word_stats(windows).orderBy(F.desc("count"), "next").limit(50)
-        .select(F.col("next").alias("word"))
-    )
-    return ngrams.top_contexts(windows, frequent, 5)
+    return ngrams.top_contexts(windows, _target_words(spark, sf), 5)
+
 
+_CLEANED = f"(SELECT doc_id, {sq.clean_patterns('text', decomposed=True)} AS text FROM documents)"
 
-@query("flagship_top_contexts")
+
+@query(
+    "flagship_top_contexts",
+    f"""WITH w AS ({sq.windows(MAX_CONTEXT, source=_CLEANED)}), t AS ({_TARGETS}),
+    p AS (SELECT next AS word, context, COUNT(*) AS count FROM w WHERE next IN (SELECT word FROM t) GROUP BY ALL),
+    r AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY word ORDER BY count DESC, context) AS INTEGER) AS rank FROM p)
+    SELECT word, rank, context, count FROM r WHERE rank <= 5""",
+)
 def flagship_top_contexts(spark, sf):
     return flagship(spark, sf)

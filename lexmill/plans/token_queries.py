@@ -168,8 +168,13 @@ def prefix_target_layout(spark, sf):
 @query(
     "append_masks",
     f"""SELECT doc_id, array_to_string(t || [{MASK}, {MASK}, {MASK}, {EOS}], ' ') AS with_masks,
-    CAST(len(t) - 1 AS INTEGER) AS predict_at FROM (SELECT doc_id, {_ids('text')}[1:64] AS t FROM documents)""",
+    CAST(len(t) - 1 AS INTEGER) AS predict_at FROM (SELECT doc_id, {_ids('text')} AS t FROM documents)""",
 )
 def append_masks(spark, sf):
-    cut = _hashed(spark, sf).withColumn("tokens", tk.truncate(F.col("tokens"), 64))
-    return _joined(tk.append_masks(cut, MASK, 3, shifted=True, end_id=EOS), "doc_id", "with_masks", "predict_at")
+    return _joined(tk.append_masks(_hashed(spark, sf), MASK, 3, shifted=True, end_id=EOS), "doc_id", "with_masks", "predict_at")
+
+
+@query("truncate_tokens", f"SELECT doc_id, array_to_string({_ids('text')}[1:{LENGTH}], ' ') AS tokens FROM documents")
+def truncate_tokens(spark, sf):
+    cut = _hashed(spark, sf).withColumn("tokens", tk.truncate(F.col("tokens"), LENGTH))
+    return _joined(cut, "doc_id", "tokens")

@@ -8,40 +8,41 @@ from pyspark.sql import functions as F
 from lexmill import schemas
 from lexmill.functions.text import strip
 from lexmill.operators.ordering import running_total
-
-
+from lexmill.session import cut_lineage
 
 
 def read_text_corpus(spark: SparkSession, path: str, glob: str = "*.train") -> DataFrame:
-    """(file, line_no, text) of all matching files; ``line_no`` is dense from 0 per file.
+    """(path, file, line_no, text) of all matching files; ``line_no`` is dense from 0 per path.
 
-    A big file is cut into blocks that are read in parallel. Lines are counted per block first; the
-    number of a line is its place in the block plus the lines of the earlier blocks.
+    Files of one name in several folders stay apart: ``path`` is the key and ``file`` the name. A big file is cut into blocks
+    that are read in parallel. The lines are stored once with their place in the scan, so that counting the lines of
+    earlier blocks and numbering see the same cut.
     """
-    lines = _with_blocks(spark.read.option("pathGlobFilter", glob).text(path))
+    lines = cut_lineage(_with_blocks(spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path)))
     if lines.isEmpty():
         raise ValueError(f"No {glob} files found in {path}")
     numbered = running_total(
         lines, F.lit(1).cast("bigint"), [F.col("_seq")], [("_b", F.col("_block")), ("_s", F.shiftright("_seq", 16))],
-        within=["file"], name="line_no",
+        within=["path"], name="line_no",
     )
-    return numbered.select("file", "line_no", "text")
+    return numbered.select("path", "file", "line_no", "text")
 
 
 def _with_blocks(df: DataFrame) -> DataFrame:
     return df.select(
-        F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_seq"), F.col("value").alias("text"),
     )
 
 
 def read_jsonl_items(spark: SparkSession, path: str, schema: str, glob: str = "*.jsonl") -> DataFrame:
-    """Raw records with ``stem`` (file name without suffix) and ``idx`` (line in the file)."""
+    """Raw records with ``path``, ``stem`` (file name without suffix) and ``idx`` (line in the file)."""
     numbered = read_text_corpus(spark, path, glob)
     return numbered.where(strip(F.col("text")) != "").select(
-        F.regexp_replace("file", r"\.[^.]*$", "").alias("stem"), F.col("line_no").alias("idx"),
+        "path", F.regexp_replace("file", r"\.[^.]*$", "").alias("stem"), F.col("line_no").alias("idx"),
         F.from_json("text", schema).alias("r"),
-    ).select("stem", "idx", "r.*")
+    ).select("path", "stem", "idx", "r.*")
 
 
 def read_labeled_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -32,6 +32,15 @@ def test_corpus_line_numbers_over_many_blocks(spark, tmp_path):
         readers.read_text_corpus(spark, str(tmp_path), "*.none")
 
 
+def test_files_of_one_name_in_two_folders_stay_apart(spark, tmp_path):
+    for folder in ("x", "y"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "same.train").write_text("".join(f"{folder} {i}\n" for i in range(3)))
+    rows = readers.read_text_corpus(spark, str(tmp_path)).collect()
+    assert sorted((r["file"], r["line_no"], r["text"]) for r in rows) == sorted(("same.train", i, f"{f} {i}") for f in "xy" for i in range(3))
+    assert len({r["path"] for r in rows}) == 2
+
+
 def test_text_sink_keeps_order(spark, tmp_path):
     df = spark.range(1000).select(F.col("id").alias("ord"), F.format_string("line %d", "id").alias("text")).repartition(7)
     writers.write_text(df, str(tmp_path / "out"), ["ord"])

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as tx
 from lexmill.functions import html as hx
+from lexmill.operators import ngrams
+from lexmill.operators import pages as pg
 
 EDGE = [
     "", " ", "plain", "NASA and ÉCOLE and A BC D1 AB_CD", "BÓI!! NÉLL", "a (see q.v. this) b (cf. that) (no)",
@@ -130,3 +132,39 @@ def test_body_and_index_pages(spark):
 
     values = ["", "a Volume b", "a Volume b Volume c", "a Volume b Volume c — d — e Volume f"]
     assert apply(spark, pg.extract_body, values) == ["", "", "c", "d — e"]
+
+
+def test_not_found_message_through_inline_tags(spark):
+    rows = [(1, "<p>does not have a <a>text</a> with this name</p>"), (2, "<p>fine</p>"), (3, ""), (4, None), (5, "<!-- does not have a text with this name --><p>x</p>")]
+    df = spark.createDataFrame(rows, "page_id int, html string")
+    assert sorted(r["page_id"] for r in pg.drop_missing_pages(df, "does not have a text with this").collect()) == [2, 5]
+
+
+def test_href_forms_and_relative_links(spark):
+    from urllib.parse import urljoin
+
+    html = """<a href="/wiki/O'Brien">a</a><a data-href="/bad" href='../d/./e'>b</a><a href=/wiki/X>c</a><a title="q>r" href = "?q=1">d</a><a name=x>e</a>"""
+    df = spark.createDataFrame([(html,)], "h string")
+    assert df.select(hx.hrefs(F.col("h"))).first()[0] == ["/wiki/O'Brien", "../d/./e", "/wiki/X", "?q=1"]
+    base = "http://h.org/a/b/c.html"
+    links = ["../../../x", "./", "..", "a/../b?x=../y", "/p/../q", "#f", "?z", "http://o/k", "//o/k", "plain"]
+    got = spark.createDataFrame([(x,) for x in links], "h string").select("h", hx.resolve_url(F.lit(base), F.col("h")).alias("u")).collect()
+    assert {r["h"]: r["u"] for r in got} == {x: urljoin(base, x) for x in links}
+
+
+def test_character_references(spark):
+    df = spark.createDataFrame([("&apos;&amp;&hellip;&#39;&#x1F600;&nosuch;",)], "h string")
+    assert df.select(hx.decode_references(F.col("h"))).first()[0] == "'&…'😀&nosuch;"
+
+
+def test_container_of_many_nested_tags(spark):
+    html = "<main>" + "<div>" * 6000 + "x" + "</div>" * 6000 + "</main>"
+    df = spark.createDataFrame([(html,)], "h string")
+    assert df.select(F.length(hx.container(F.col("h"), "div"))).first()[0] == 5999 * 11 + 1
+
+
+def test_sentence_ends_with_closers_and_other_scripts(spark):
+    text = 'He said "stop." Then (he left.) Good! 三。四！」五 क। ख'
+    df = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    rows = ngrams.sentences(df).orderBy("sent_no").collect()
+    assert [" ".join(r["tokens"]) for r in rows] == ['He said "stop."', "Then (he left.)", "Good!", "三。", "四！」", "五 क।", "ख"]
