@@ -67,15 +67,14 @@ def normalize_nfkc(c: Column) -> Column:
 
 
 def titlecase_caps(c: Column) -> Column:
-    """Words of two or more capitals become Title Case."""
-    runs = F.regexp_extract_all(c, F.lit(rf"([{WORD}]+|[^{WORD}]+)"), F.lit(1))
+    """Words of two or more capitals become Title Case. The text is cut at such words only."""
+    caps = rf"(?<![{WORD}])\p{{Lu}}{{2,}}(?![{WORD}])"
     titled = F.transform(
-        runs,
-        lambda x: F.when(
-            x.rlike(r"^\p{Lu}{2,}\z"), F.concat(F.substring(x, 1, 1), F.lower(F.substring(x, 2, 1 << 30)))
-        ).otherwise(x),
+        F.regexp_extract_all(c, F.lit(caps), F.lit(0)),
+        lambda x: F.concat(F.substring(x, 1, 1), F.lower(F.substring(x, 2, 1 << 30))),
     )
-    return F.when(c.rlike(r"\p{Lu}{2}"), F.array_join(titled, "")).otherwise(c)
+    joined = F.zip_with(F.split(c, caps, -1), titled, lambda gap, x: F.concat(gap, F.coalesce(x, F.lit(""))))
+    return F.when(c.rlike(caps), F.array_join(joined, "")).otherwise(c)
 
 
 def drop_special_chars(c: Column) -> Column:
@@ -86,24 +85,39 @@ def unify_spaces(c: Column) -> Column:
     return F.regexp_replace(c, r"[\x{200B}-\x{200F}\x{FEFF}\p{Z}]", " ")
 
 
+# Marks and what they become.
+QUOTES, CURLY_QUOTES = "‹›«»", "“”"
+APOSTROPHES, CURLY_APOSTROPHES = "`′´", "‘’"
+DASHES = "‒–—―"
+
+
 def unify_quotes(c: Column, curly: bool = False) -> Column:
     """Guillemets become straight quotes; ``curly`` adds the curly double quotes."""
-    marks = "‹›«»" + ("“”" if curly else "")
+    marks = QUOTES + (CURLY_QUOTES if curly else "")
     return F.translate(c, marks, '"' * len(marks))
 
 
 def unify_apostrophes(c: Column, curly: bool = False) -> Column:
     """Backtick, prime and acute become apostrophes; ``curly`` adds the curly single quotes."""
-    marks = "`′´" + ("‘’" if curly else "")
+    marks = APOSTROPHES + (CURLY_APOSTROPHES if curly else "")
     return F.translate(c, marks, "'" * len(marks))
 
 
+def _marks(curly: bool) -> str:
+    return QUOTES + APOSTROPHES + DASHES + (CURLY_QUOTES + CURLY_APOSTROPHES if curly else "")
+
+
+def _straight(curly: bool) -> str:
+    quotes, apostrophes = '"' * len(QUOTES), "'" * len(APOSTROPHES)
+    return quotes + apostrophes + "-" * len(DASHES) + ("\"\"''" if curly else "")
+
+
 def drop_references(c: Column) -> Column:
     return F.regexp_replace(c, r"\([^)]*(?:q\.v\.|cf\.)[^)]*\)", "")
 
 
 def unify_dashes(c: Column) -> Column:
-    return F.translate(c, "‒–—―", "----")
+    return F.translate(c, DASHES, "-" * len(DASHES))
 
 
 def tighten_punct(c: Column) -> Column:
@@ -127,10 +141,9 @@ def clean_patterns(c: Column, curly: bool = False) -> Column:
     c = titlecase_caps(c)
     c = drop_special_chars(c)
     c = unify_spaces(c)
-    c = unify_quotes(c, curly)
-    c = unify_apostrophes(c, curly)
+    # quotes, apostrophes and dashes at once: none of them takes part in the rule for references
+    c = F.translate(c, _marks(curly), _straight(curly))
     c = drop_references(c)
-    c = unify_dashes(c)
     c = tighten_punct(c)
     c = tighten_parens(c)
     c = squeeze_spaces(c)

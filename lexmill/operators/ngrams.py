@@ -121,6 +121,11 @@ def context_stats(windows: DataFrame) -> DataFrame:
     return _with_share(windows.groupBy("context").agg(F.count(F.lit(1)).alias("count")), "context")
 
 
+def word_stats_of_pairs(pairs: DataFrame) -> DataFrame:
+    """``word_stats`` from the rows of ``next_word_stats``, so that windows are counted once for both."""
+    return _with_share(pairs.groupBy("next").agg(F.sum("count").alias("count")), "next")
+
+
 def word_stats(windows: DataFrame) -> DataFrame:
     """Counts of next words; the first token of a sentence is never counted."""
     return _with_share(windows.groupBy("next").agg(F.count(F.lit(1)).alias("count")), "next")

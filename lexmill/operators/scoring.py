@@ -109,8 +109,9 @@ def ngram_score(
     """Log-probability of a sentence under next-word statistics.
 
     log P(next | previous word) from ``pairs`` (context, next, frequency) of one-word contexts, else
-    log P(next) from ``words`` (next, frequency), else ``floor``. Steps are counted first, so a
-    frequent step is one row when it meets the statistics.
+    log P(next) from ``words`` (next, frequency), else ``floor``. Steps are counted per candidate and meet the
+    statistics as distinct steps. The join back carries one row per candidate and step; a step that most candidates hold is a
+    large group of the counted side only, which adaptive execution splits.
     """
     tokens = tx.words(F.col(text))
     steps = candidates.select(*keys, tokens.alias("tokens")).select(
@@ -123,15 +124,15 @@ def ngram_score(
             )
         ).alias("s"),
     ).select(*keys, F.col("s.context").alias("context"), F.col("s.next").alias("next"))
-    distinct = steps.where("next is not null").select("context", "next").distinct()
+    counted = steps.groupBy(*keys, "context", "next").agg(F.count(F.lit(1)).alias("_n"))
+    distinct = counted.where("next is not null").select("context", "next").distinct()
     known = (
         distinct.join(pairs.select("context", "next", F.log("frequency").alias("_pair")), ["context", "next"], "left")
         .join(words.select("next", F.log("frequency").alias("_word")), "next", "left")
         .select("context", "next", F.coalesce("_pair", "_word", F.lit(float(floor))).alias("_lp"))
     )
     return (
-        steps.groupBy(*keys, "context", "next").agg(F.count(F.lit(1)).alias("_n"))
-        .join(known, ["context", "next"], "left")
+        counted.join(known, ["context", "next"], "left")
         .groupBy(*keys)
         .agg(F.coalesce(F.sum(F.col("_lp") * F.col("_n")), F.lit(0.0)).alias("logprob"))
     )
