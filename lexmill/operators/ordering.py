@@ -96,22 +96,23 @@ def quantile_groups(df: DataFrame, column: str, buckets: int | None = None) -> t
 
 
 def average_ranks(
-    df: DataFrame, column: str, name: str = "avg_rank", buckets: int | None = None, weight: str | None = None
+    df: DataFrame, column: str, name: str = "avg_rank", buckets: int | None = None, weight: str | None = None,
+    within: Sequence[str] = (),
 ) -> DataFrame:
-    """Distinct values of ``column`` with their count and average rank (ties share the mean rank).
+    """Distinct values of ``column`` with their count and average rank (ties share the mean rank), per ``within`` key.
 
     With ``weight`` a row stands for that many equal values.
     """
     size = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counts = (
         df.where(F.col(column).isNotNull() & ~F.isnan(column))
-        .groupBy(F.col(column).cast("double").alias(column))
+        .groupBy(*within, F.col(column).cast("double").alias(column))
         .agg(size.alias("n"))
     )
     bucketed, bucket = quantile_groups(counts, column, buckets)
     ranked = running_total(
-        bucketed, F.col("n"), [F.col(column)], [("_cut", F.col(bucket))], name="_smaller"
+        bucketed, F.col("n"), [F.col(column)], [("_cut", F.col(bucket))], within=within, name="_smaller"
     )
     return ranked.select(
-        column, "n", (F.col("_smaller") + (F.col("n") + 1) / F.lit(2.0)).alias(name)
+        *within, column, "n", (F.col("_smaller") + (F.col("n") + 1) / F.lit(2.0)).alias(name)
     )

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -75,34 +78,38 @@ def _incomplete_beta(a: float, b: float, x: float) -> float:
     return front * h / a
 
 
-def spearman(df: DataFrame, x: str, y: str, buckets: int | None = None) -> DataFrame:
-    """Rank correlation with mean ranks for ties.
+def spearman(df: DataFrame, x: str, y: str, buckets: int | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Rank correlation with mean ranks for ties, for every value of ``keys`` (temperature, subtask) in one job.
 
     Pairs are counted first and stored, as several passes read them. Ranks are computed on distinct values and joined back, so the number of
     rows that are sorted and joined is that of distinct values.
     """
     both = F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y)
     pairs = cut_lineage(
-        df.where(both).groupBy(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+        df.where(both).groupBy(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
         .agg(F.count(F.lit(1)).alias("_w"))
     )
-    rx = average_ranks(pairs.select("_x", "_w"), "_x", "_rx", buckets, weight="_w")
-    ry = average_ranks(pairs.select("_y", "_w"), "_y", "_ry", buckets, weight="_w")
-    ranked = pairs.join(rx.select("_x", "_rx"), "_x").join(ry.select("_y", "_ry"), "_y")
-    return weighted_corr(ranked, "_rx", "_ry", "_w").select(F.col("r").alias("rho"), "n")
+    rx = average_ranks(pairs.select(*keys, "_x", "_w"), "_x", "_rx", buckets, weight="_w", within=keys)
+    ry = average_ranks(pairs.select(*keys, "_y", "_w"), "_y", "_ry", buckets, weight="_w", within=keys)
+    ranked = pairs.join(rx.select(*keys, "_x", "_rx"), [*keys, "_x"]).join(ry.select(*keys, "_y", "_ry"), [*keys, "_y"])
+    return weighted_corr(ranked, "_rx", "_ry", "_w", keys).select(*keys, F.col("r").alias("rho"), "n")
 
 
-def weighted_corr(df: DataFrame, x: str, y: str, w: str) -> DataFrame:
-    """Pearson correlation of rows that stand for ``w`` equal pairs each.
+def weighted_corr(df: DataFrame, x: str, y: str, w: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Pearson correlation, for every key, of rows that stand for ``w`` equal pairs each.
 
     Values are centred on the weighted means before the products are summed.
     """
-    means = df.agg(
+    means = df.groupBy(*keys).agg(
         (F.sum(F.col(x) * F.col(w)) / F.sum(w)).alias("mx"), (F.sum(F.col(y) * F.col(w)) / F.sum(w)).alias("my")
     )
-    dx = F.col(x) - means.select("mx").scalar()
-    dy = F.col(y) - means.select("my").scalar()
-    sums = df.select(dx.alias("dx"), dy.alias("dy"), F.col(w).alias("w")).agg(
+    if keys:
+        centred = df.join(means, list(keys)).select(*keys, (F.col(x) - F.col("mx")).alias("dx"), (F.col(y) - F.col("my")).alias("dy"), F.col(w).alias("w"))
+    else:
+        centred = df.select(
+            (F.col(x) - means.select("mx").scalar()).alias("dx"), (F.col(y) - means.select("my").scalar()).alias("dy"), F.col(w).alias("w")
+        )
+    sums = centred.groupBy(*keys).agg(
         F.sum(F.col("dx") * F.col("dy") * F.col("w")).alias("xy"),
         F.sum(F.col("dx") * F.col("dx") * F.col("w")).alias("xx"),
         F.sum(F.col("dy") * F.col("dy") * F.col("w")).alias("yy"),
@@ -110,7 +117,7 @@ def weighted_corr(df: DataFrame, x: str, y: str, w: str) -> DataFrame:
     )
     spread = F.sqrt(F.col("xx") * F.col("yy"))
     return sums.select(
-        F.when(spread == 0, F.lit(float("nan"))).otherwise(F.col("xy") / spread).alias("r"), "n"
+        *keys, F.when(spread == 0, F.lit(float("nan"))).otherwise(F.col("xy") / spread).alias("r"), "n"
     )
 
 
@@ -146,32 +153,45 @@ def _complete(df: DataFrame, names: list[str]) -> DataFrame:
     return df
 
 
-def _moments(df: DataFrame, y: str, terms: tuple[Term, ...]):
-    """n, means, centred cross products of (terms, y): two aggregations of fixed width."""
-    rows = _complete(df, _columns(y, terms))
-    columns = [*_design(terms)[1:], F.col(y).cast("double")]
-    named = rows.select(*[c.alias(f"v{i}") for i, c in enumerate(columns)])
-    k = len(columns)
-    first = named.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"v{i}").alias(f"m{i}") for i in range(k)]).first()
-    n, means = first["n"], [first[f"m{i}"] for i in range(k)]
-    if not n:
-        return 0, np.zeros(k), np.zeros((k, k))
-    centred = named.select(*[(F.col(f"v{i}") - F.lit(means[i])).alias(f"d{i}") for i in range(k)])
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    sums = centred.agg(*[F.sum(F.col(f"d{i}") * F.col(f"d{j}")).alias(f"s{i}_{j}") for i, j in pairs]).first()
-    cross = np.zeros((k, k))
-    for i, j in pairs:
-        cross[i, j] = cross[j, i] = sums[f"s{i}_{j}"]
-    return n, np.array(means), cross
+Model = tuple[str, tuple[Term, ...]]
 
 
-def fit_ols(df: DataFrame, y: str, terms: tuple[Term, ...]) -> dict:
-    """Least squares with intercept: R², AIC, coefficients, t and p values by term.
+def _moments(df: DataFrame, models: Sequence[Model], keys: tuple[str, ...]) -> list[tuple[dict, list[tuple]]]:
+    """Per key: (n, means, centred cross products of terms and y) of every model, from two aggregations for all of them.
 
-    Spark aggregates the centred cross products (their number depends on the terms only); the small
-    symmetric system is solved on the driver. Rows with a missing value in this model are left out.
+    A model's sums run over the rows that are complete for it. Values are centred on the model's means over all keys, and each
+    key's own mean is taken out of its sums.
     """
-    n, means, cross = _moments(df, y, terms)
+    columns, complete, kept = {}, {}, set(keys)
+    for j, (y, terms) in enumerate(models):
+        used = _columns(y, terms)
+        kept |= set(used)
+        complete[j] = reduce(and_, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in used])
+        columns[j] = [F.when(complete[j], c) for c in (*_design(terms)[1:], F.col(y).cast("double"))]
+    rows = df.select(*[F.col(c) for c in df.columns if c in kept])
+    first = rows.agg(*[F.avg(c).alias(f"m{j}_{i}") for j, each in columns.items() for i, c in enumerate(each)]).first()
+    sums = []
+    for j, each in columns.items():
+        centred = [c - F.lit(first[f"m{j}_{i}"]) for i, c in enumerate(each)]
+        sums.append(F.count_if(complete[j]).alias(f"n{j}"))
+        sums += [F.sum(c).alias(f"a{j}_{i}") for i, c in enumerate(centred)]
+        sums += [F.sum(centred[i] * centred[k]).alias(f"s{j}_{i}_{k}") for i in range(len(each)) for k in range(i, len(each))]
+    out = []
+    for r in rows.groupBy(*keys).agg(*sums).collect():  # one row per key
+        found = []
+        for j, each in columns.items():
+            n, k = r[f"n{j}"], len(each)
+            if not n:
+                found.append((0, np.zeros(k), np.zeros((k, k))))
+                continue
+            shift = np.array([r[f"a{j}_{i}"] for i in range(k)])
+            cross = np.array([[r[f"s{j}_{min(i, m)}_{max(i, m)}"] for m in range(k)] for i in range(k)])
+            found.append((n, np.array([first[f"m{j}_{i}"] for i in range(k)]) + shift / n, cross - np.outer(shift, shift) / n))
+        out.append(({key: r[key] for key in keys}, found))
+    return out
+
+
+def _solve(terms: tuple[Term, ...], n: int, means: np.ndarray, cross: np.ndarray) -> dict:
     k = len(terms)
     names = [t if isinstance(t, str) else ":".join(t) for t in terms]
     scale = np.sqrt(np.where(np.diag(cross)[:k] > 0, np.diag(cross)[:k], 1.0))
@@ -196,27 +216,58 @@ def fit_ols(df: DataFrame, y: str, terms: tuple[Term, ...]) -> dict:
     }
 
 
-def r2_gain(df: DataFrame, y: str, base: tuple[str, ...], predictor: str, common_rows: bool = False) -> dict:
-    """Share of the base model's unexplained variance that the predictor explains.
+def fit_models(df: DataFrame, models: Sequence[Model], keys: tuple[str, ...] = ()) -> list[tuple[dict, list[dict]]]:
+    """Least squares with intercept of every model (y, terms), for every value of ``keys``: R², AIC, coefficients, t and p values.
 
-    The two fits may use different rows; ``common_rows`` drops rows without predictor from both.
+    Two scans serve all models and keys. Spark aggregates the cross products, whose number depends on the terms only; the
+    small symmetric systems are solved on the driver, one row per key. Rows with a missing value in a model are left out of it.
     """
-    rows = _complete(df, [predictor]) if common_rows else df
-    small = fit_ols(rows, y, main_and_pairwise(base))
-    full = fit_ols(df, y, main_and_pairwise(base, predictor))
+    return [(key, [_solve(terms, *m) for (_, terms), m in zip(models, found)]) for key, found in _moments(df, models, keys)]
+
+
+def fit_ols(df: DataFrame, y: str, terms: tuple[Term, ...]) -> dict:
+    """One model over all rows."""
+    return fit_models(df, [(y, terms)])[0][1][0]
+
+
+def _gain(y: str, small: dict, full: dict) -> dict:
     return {
         "dependent": y, "r2_base": small["r2"], "r2_full": full["r2"],
         "gain": (full["r2"] - small["r2"]) / (1 - small["r2"]), "base": small, "full": full,
     }
 
 
+def r2_gain(df: DataFrame, y: str, base: tuple[str, ...], predictor: str, common_rows: bool = False) -> dict:
+    """Share of the base model's unexplained variance that the predictor explains.
+
+    The two fits may use different rows; ``common_rows`` drops rows without predictor from both.
+    """
+    rows = _complete(df, [predictor]) if common_rows else df
+    (_, (small, full)), = fit_models(rows, [(y, main_and_pairwise(base)), (y, main_and_pairwise(base, predictor))])
+    return _gain(y, small, full)
+
+
+def r2_gain_by(df: DataFrame, dependents: Sequence[str], base: tuple[str, ...], predictor: str, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, variable, r2_base, r2_full, gain) for every key (revision, subtask) and dependent variable, in two scans."""
+    models = [m for y in dependents for m in ((y, main_and_pairwise(base)), (y, main_and_pairwise(base, predictor)))]
+    rows = []
+    for key, fits in fit_models(df, models, keys):
+        for y, small, full in zip(dependents, fits[::2], fits[1::2]):
+            g = _gain(y, small, full)
+            rows.append((*key.values(), y, g["r2_base"], g["r2_full"], g["gain"]))
+    kinds = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
+    return df.sparkSession.createDataFrame(rows, ", ".join([*kinds, "variable string, r2_base double, r2_full double, gain double"]))
+
+
 def predictor_report(
     df: DataFrame, dependents: tuple[str, ...], base: tuple[str, ...], predictor: str = "pred"
 ) -> DataFrame:
     """Per dependent variable: coefficient, t, p, R², its change, AIC and its change."""
+    models = [m for y in dependents for m in ((y, main_and_pairwise(base)), (y, main_and_pairwise(base, predictor)))]
+    (_, fits), = fit_models(df, models)
     rows = []
-    for y in dependents:
-        r = r2_gain(df, y, base, predictor)
+    for y, small, full in zip(dependents, fits[::2], fits[1::2]):
+        r = _gain(y, small, full)
         rows.append(
             (
                 y, r["full"]["coef"][predictor], r["full"]["t"][predictor], r["full"]["p"][predictor],
@@ -234,8 +285,10 @@ def predictor_report(
 def reading_scores(df: DataFrame, eye: tuple[str, ...], paced: str, base: tuple[str, ...],
                    spillover: tuple[str, ...], predictor: str = "pred") -> tuple[float, float]:
     """Eye-tracking score (mean gain over its variables) and self-paced score (with spill-over terms)."""
-    gains = [r2_gain(df, y, base, predictor)["gain"] for y in eye]
-    return sum(gains) / len(gains), r2_gain(df, paced, spillover, predictor)["gain"]
+    sides = [(y, base) for y in eye] + [(paced, spillover)]
+    (_, fits), = fit_models(df, [m for y, b in sides for m in ((y, main_and_pairwise(b)), (y, main_and_pairwise(b, predictor)))])
+    gains = [_gain(y, small, full)["gain"] for (y, _), small, full in zip(sides, fits[::2], fits[1::2])]
+    return sum(gains[:-1]) / len(eye), gains[-1]
 
 
 def pair_similarities(pairs: DataFrame, vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:

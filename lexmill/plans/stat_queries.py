@@ -141,6 +141,29 @@ def ols_gain(spark, sf):
     return stats.single_row(spark, row).select(*[F.round(k, 6).alias(k) for k in row])
 
 
+@query(
+    "spearman_by_key",
+    """WITH r AS (SELECT l_returnflag, RANK() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (COUNT(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2 AS a,
+      RANK() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) + (COUNT(*) OVER (PARTITION BY l_returnflag, l_extendedprice) - 1) / 2 AS b FROM lineitem)
+    SELECT l_returnflag, ROUND(CORR(a, b), 6) AS rho, COUNT(*) AS n FROM r GROUP BY l_returnflag""",
+)
+def spearman_by_key(spark, sf):
+    rows = stats.spearman(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", keys=("l_returnflag",))
+    return rows.withColumn("rho", F.round("rho", 6))
+
+
+@query(
+    "ols_gain_by_key",
+    f"""WITH c AS (SELECT l_returnflag, CORR(y, l_quantity) AS yx, CORR(y, l_extendedprice) AS yz,
+      CORR(l_quantity, l_extendedprice) AS xz FROM {_LINE} GROUP BY l_returnflag),
+    p AS (SELECT l_returnflag, yx * yx AS base, (yz - yx * xz) * (yz - yx * xz) / (1 - xz * xz) AS added FROM c)
+    SELECT l_returnflag, 'y' AS variable, ROUND(base, 6) AS r2_base, ROUND(base + added, 6) AS r2_full, ROUND(added / (1 - base), 6) AS gain FROM p""",
+)
+def ols_gain_by_key(spark, sf):
+    rows = stats.r2_gain_by(_line(spark, sf), ("y",), ("l_quantity",), "l_extendedprice", ("l_returnflag",))
+    return rows.select("l_returnflag", "variable", *[F.round(k, 6).alias(k) for k in ("r2_base", "r2_full", "gain")])
+
+
 @query("predictor_report")
 def predictor_report(spark, sf):
     """Three dependent variables with a base of three predictors and their products."""
