@@ -22,7 +22,7 @@ def id_groups(key: Column, shifts: Sequence[int] = (28, 12)) -> Groups:
     return [(f"_range{s}", F.shiftright(key.cast("bigint"), s)) for s in shifts]
 
 
-def hash_groups(digest: Column, digits: Sequence[int] = (3,)) -> Groups:
+def hash_groups(digest: Column, digits: Sequence[int] = (2, 5)) -> Groups:
     """Prefixes of a hexadecimal digest, coarse to fine; evenly filled whatever the data."""
     return [(f"_hex{n}", F.substring(digest, 1, n)) for n in digits]
 

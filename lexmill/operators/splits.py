@@ -111,6 +111,19 @@ def check_budget(total_words: int, train_words: int, val_words: int) -> None:
         )
 
 
+def train_val_split(
+    docs: DataFrame, train_words: int, val_words: int, seed: int, key: str = "doc_id", text: str = "text"
+) -> tuple[DataFrame, DataFrame]:
+    """(train, val) samples of the given sizes without a common text; refused if the corpus has fewer words.
+
+    The word count of the corpus, one number, is taken first.
+    """
+    total = docs.agg(F.coalesce(F.sum(tx.count_words(F.col(text)).cast("bigint")), F.lit(0))).first()[0]
+    check_budget(total, train_words, val_words)
+    val = sample_by_word_budget(docs, val_words, seed, key, text)
+    return sample_by_word_budget(exclude_selected(docs, val, key, text), train_words, seed + 1, key, text), val
+
+
 def merge_files_in_order(
     lines: DataFrame, seed: int | None, file: str = "file", line_no: str = "line_no"
 ) -> DataFrame:

@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.functions.text import add_document_markers
+
 
 def write_text(df: DataFrame, path: str, order: list[str], text: str = "text", mode: str = "error") -> None:
     """Lines in global order: range-partitioned, so the part files concatenate to the text."""
     df.orderBy(*order).select(text).write.mode(mode).text(path)
 
 
+def write_marked_stream(df: DataFrame, path: str, order: list[str], text: str = "text", mode: str = "error") -> None:
+    """Documents in order as one stream ``<s> a </s> <s> b </s> ``; the part files concatenate to it."""
+    marked = df.orderBy(*order).select(add_document_markers(F.col(text)).alias(text))
+    marked.write.mode(mode).option("lineSep", " ").text(path)
+
+
 def prediction_document_lines(predictions: DataFrame, best_temperature: float | None = None) -> DataFrame:
     """Lines that, in (subtask, part, idx) order, form one nested prediction document.
 

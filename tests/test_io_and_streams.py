@@ -47,6 +47,12 @@ def test_text_sink_keeps_order(spark, tmp_path):
     assert concatenated(tmp_path / "out") == "".join(f"line {i}\n" for i in range(1000))
 
 
+def test_marked_stream(spark, tmp_path):
+    df = spark.createDataFrame([(2, "b c"), (1, "a"), (3, "d")], "ord int, text string").repartition(3)
+    writers.write_marked_stream(df, str(tmp_path / "out"), ["ord"])
+    assert concatenated(tmp_path / "out") == "<s> a </s> <s> b c </s> <s> d </s> "
+
+
 def test_prediction_document_roundtrip(spark, tmp_path):
     rows = [(s, i, 1.0, f"{s}_{i}", f'say "{i}" é', 0.5) for s in ("a", 'b"q') for i in range(30)]
     df = spark.createDataFrame(rows, "subtask string, idx bigint, temperature double, id string, pred string, prob double")

@@ -132,3 +132,12 @@ def test_context_text_of_digest(spark):
     sents = ngrams.sentences(docs)
     windows = ngrams.full_prefix_windows(sents).where("next = 'three'")
     assert ngrams.context_text(windows, sents).first()["context_text"] == "one two"
+
+
+def test_split_refuses_more_words_than_there_are(spark):
+    docs = spark.createDataFrame([(i, f"w{i} x y") for i in range(50)] + [(100, "w1 x y")], "doc_id bigint, text string")
+    train, val = splits.train_val_split(docs, 60, 30, seed=4)
+    chosen = [{r["doc_id"] for r in d.collect()} for d in (train, val)]
+    assert not chosen[0] & chosen[1] and len(chosen[0]) == 20 and len(chosen[1]) == 10
+    with pytest.raises(ValueError):
+        splits.train_val_split(docs, 120, 60, seed=4)
