@@ -141,12 +141,16 @@ def train(labelled: DataFrame, per_language: int = 600) -> Model:
 
 
 def fit(examples: list[tuple[str, int, np.ndarray, np.ndarray]], df: np.ndarray, texts: int) -> Model:
-    """FTRL over the examples in an order that depends on their hashes only, then the temperature on every fifth."""
+    """FTRL over the examples in a fixed random order, then the temperature on every fifth.
+
+    The hashes have chosen the sample language by language, so their own order would put the rarer languages last.
+    """
     languages = sorted({e[0] for e in examples})
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), 1.0)
     idf = np.log((1.0 + texts) / (1.0 + df)) + 1.0
     examples = sorted(examples, key=lambda e: (e[1], e[0], e[2].tobytes(), e[3].tobytes()))
+    examples = [examples[i] for i in np.random.default_rng(7).permutation(len(examples))]
     values = [SCALE * n * idf[at] / max(n.sum(), 1) for _, _, at, n in examples]
     labels = [languages.index(e[0]) for e in examples]
     held = [i for i in range(len(examples)) if i % 5 == 4]
