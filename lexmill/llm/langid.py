@@ -129,12 +129,19 @@ def train(labelled: DataFrame, per_language: int = 600) -> Model:
             texts = r.n
         else:
             df[r.bucket] = r.n
-    # The sample: the smallest hashes of each language. Only ids are ranked; their texts are then read.
+    # The sample: the smallest hashes of each language. Counts, one row per language like the model itself, bound the hashes that
+    # are ranked, and the ranks bound the documents whose texts are read; no text is shuffled to be chosen.
     order = F.xxhash64("doc_id", "text", F.lit("langid"))
-    ranked = known.where(F.col("text").rlike(r"\p{L}")).select("lang", order.alias("_order"))
+    with_order = known.where(F.col("text").rlike(r"\p{L}")).withColumn("_order", order)
+    sizes = with_order.groupBy("lang").count().collect()
+    spark = labelled.sparkSession
+    first = [(r["lang"], min(2**63 - 1, -(2**63) + 4 * per_language * 2**64 // r["count"])) for r in sizes]
+    bound = F.broadcast(spark.createDataFrame(first, "lang string, _first bigint"))
+    ranked = with_order.join(bound, "lang").where("_order <= _first").select("lang", "_order")
     window = Window.partitionBy("lang").orderBy("_order")
-    limits = ranked.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= per_language).groupBy("lang").agg(F.max("_order").alias("_most"), F.count("*").alias("_n"))
-    sample = known.where(F.col("text").rlike(r"\p{L}")).withColumn("_order", order).join(limits, "lang").where("_order <= _most").dropDuplicates(["lang", "_order"])
+    last = ranked.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= per_language).groupBy("lang").agg(F.max("_order").alias("_most"))
+    most = F.broadcast(spark.createDataFrame([(r["lang"], r["_most"]) for r in last.collect()], "lang string, _most bigint"))
+    sample = with_order.join(most, "lang").where("_order <= _most").dropDuplicates(["lang", "_order"])
     found = sample.select("text", "lang", "_order").mapInArrow(_features, "lang string, order bigint, at binary, n binary")
     examples = found.collect()  # per_language of each language
     return fit([(r.lang, r.order, np.frombuffer(r.at, np.int32), np.frombuffer(r.n, np.int32)) for r in examples], df, texts)
