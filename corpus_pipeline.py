@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm import langid, minhash, mixing, packing, secret_scan
-from lexmill.llm.common import stored
+from lexmill.llm.common import stored, with_keys
 from lexmill.llm.queries import tokenizer_path
 from lexmill.llm.spans import redacted
 
-# Documents whose language is less likely than this are rejected, as are those without a letter.
-MIN_SCORE = 0.5
+# Documents without a letter are rejected, and those of which no language is more likely than this (chance is a quarter for four).
+MIN_SCORE = 0.3
 MARK = "[SECRET]"
 
 
@@ -28,12 +28,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates; of rows that share their doc_id one stays."""
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    one = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
-    again = one.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    repeated = one.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return one.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(repeated)
+    """Keeps one document of each group of near-duplicates; of rows that share their doc_id one stays.
+
+    Only ids are joined back: documents go if their id is among those of which no row is kept.
+    """
+    kept = F.max(F.col("kept").cast("int"))
+    ids = stored(minhash.near_duplicates(docs).groupBy("doc_id").agg(kept.alias("kept"), F.sum(F.col("kept").cast("int")).alias("rows")), "kept")
+    out = with_keys(docs, ids.where("kept = 0"), "doc_id", without=True)
+    again = ids.where("rows > 1 and doc_id is not null")
+    if again.isEmpty():
+        return out
+    repeated = with_keys(out, again, "doc_id").dropDuplicates(["doc_id"])
+    return with_keys(out, again, "doc_id", without=True).unionByName(repeated)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,15 +33,15 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def with_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Rows of ``df`` whose ``key`` is in the stored table ``keys``; NULL equals NULL.
+def with_keys(df: DataFrame, keys: DataFrame, key: str, without: bool = False) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is in the stored table ``keys`` (``without``: is not); NULL equals NULL.
 
     The keys are broadcast only if their count is within BROADCAST_KEYS; else both sides are shuffled.
     """
     side = keys.select(F.col(key).alias("_key")).distinct()
     if keys.count() <= BROADCAST_KEYS:
         side = F.broadcast(side)
-    return df.join(side, df[key].eqNullSafe(side["_key"]), "left_semi")
+    return df.join(side, df[key].eqNullSafe(side["_key"]), "left_anti" if without else "left_semi")
 
 
 def slots(df: DataFrame, key: Column | str, order: Column, spread: int = 1024, name: str = "slot") -> DataFrame:
