@@ -18,6 +18,8 @@ from lexmill.llm.spans import redacted
 # Documents without a letter are rejected, and those of which no language is more likely than this (chance is a quarter for four).
 MIN_SCORE = 0.3
 MARK = "[SECRET]"
+# Percent of common word shingles from which documents are near-duplicates (op1 has a threshold of its own).
+NEAR = 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +35,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Only ids are joined back: documents go if their id is among those of which no row is kept.
     """
     kept = F.max(F.col("kept").cast("int"))
-    ids = stored(minhash.near_duplicates(docs).groupBy("doc_id").agg(kept.alias("kept"), F.sum(F.col("kept").cast("int")).alias("rows")), "kept")
+    ids = stored(minhash.near_duplicates(docs, percent=NEAR).groupBy("doc_id").agg(kept.alias("kept"), F.sum(F.col("kept").cast("int")).alias("rows")), "kept")
     out = with_keys(docs, ids.where("kept = 0"), "doc_id", without=True)
     again = ids.where("rows > 1 and doc_id is not null")
     if again.isEmpty():

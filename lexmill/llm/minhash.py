@@ -1,10 +1,11 @@
 """Near-duplicates by a multi-index Hamming join of b-bit minhash signatures.
 
-A document's set holds the 64-bit hashes of its distinct five-word shingles. Its signature has SYMBOLS minima, cut to 16
-bits each. A signature falls into CHUNKS chunks of six symbols. If two signatures differ in at most MAX_DIFFER = 2 * CHUNKS - 1
-places, some chunk differs in at most one (pigeonhole), so both have a common key among the six that leave out one symbol
-of that chunk. Every pair within that distance is thus a candidate. At the similarity 0.85 a signature differs in 9.9 places
-on average (standard deviation 2.9).
+A document's set holds the 64-bit hashes of its distinct five-word shingles. Its signature holds minima, cut to 16 bits each, and
+falls into chunks of a few symbols. If two signatures differ in at most 2 * chunks - 1 places, some chunk differs in at most one
+(pigeonhole), so both have a common key among those that leave out one symbol of that chunk. Every pair within that distance
+is thus a candidate. ``layout`` chooses chunks and width by the threshold, so that a pair exactly at it lies beyond that distance
+with a probability of at most MISS: 11 chunks of six at 0.85 (9.9 differing places on average, standard deviation 2.9), 14 of
+five at 0.80 (14 on average, standard deviation 3.3).
 
 Candidates are never listed pair by pair. The smallest set of each key bucket is its pivot and every member is tied to its
 pivots only, which is linear in the number of keys. Ties are confirmed on the full sets. Members that their pivot does not
@@ -15,6 +16,9 @@ a spanning forest needs. Rows of confirmed groups, however large, are never comp
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from math import comb
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -25,10 +29,43 @@ from pyspark.sql import functions as F
 from lexmill.llm.common import stored, with_keys
 
 WORDS = 5
-CHUNKS = 11
-WIDTH = 6
-SYMBOLS = CHUNKS * WIDTH
-MAX_DIFFER = 2 * CHUNKS - 1
+MISS = 1.6e-4  # probability at most that a pair exactly at the threshold differs in more places than the keys cover
+MOST_SYMBOLS = 72
+WIDEST = 8
+
+
+class Layout(NamedTuple):
+    """Chunks of a signature and symbols of each."""
+
+    chunks: int
+    width: int
+
+    @property
+    def symbols(self) -> int:
+        return self.chunks * self.width
+
+    @property
+    def max_differ(self) -> int:
+        return 2 * self.chunks - 1
+
+    def miss(self, percent: int) -> float:
+        """Probability that a pair of that similarity differs in more than ``max_differ`` symbols."""
+        n, p = self.symbols, 1 - percent / 100
+        return sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(self.max_differ + 1, n + 1))
+
+
+@lru_cache
+def layout(percent: int) -> Layout:
+    """The widest chunks (so the fewest accidental candidates), then the fewest of them, that miss at most MISS at the threshold."""
+    for width in range(WIDEST, 1, -1):
+        for chunks in range(1, MOST_SYMBOLS // width + 1):
+            if Layout(chunks, width).miss(percent) <= MISS:
+                return Layout(chunks, width)
+    raise ValueError(f"no signature of {MOST_SYMBOLS} symbols covers {percent} percent")
+
+
+CHUNKS, WIDTH = DEFAULT = layout(85)
+SYMBOLS, MAX_DIFFER = DEFAULT.symbols, DEFAULT.max_differ
 # A block of the comparison holds about so many sets and set members at most.
 BLOCK_SETS = 512
 BLOCK_MEMBERS = 1_000_000
@@ -40,6 +77,9 @@ _MIX2 = np.uint64(0x94D049BB133111EB)
 _rng = np.random.default_rng(20240501)
 _FACTOR = _rng.integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FLIP = _rng.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
+_more = np.random.default_rng(20240502)
+_FACTOR = np.append(_FACTOR, _more.integers(0, 2**63, MOST_SYMBOLS - SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+_FLIP = np.append(_FLIP, _more.integers(0, 2**63, MOST_SYMBOLS - SYMBOLS, dtype=np.uint64))
 _POWERS = [np.uint64(pow(int(_MULT), WORDS - 1 - i, 2**64)) for i in range(WORDS)]
 
 
@@ -91,9 +131,9 @@ def class_ids(sets: list[np.ndarray]) -> np.ndarray:
     return out.view(np.int64)
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of SYMBOLS 16-bit minima for each non-empty set."""
-    out = np.empty((len(sets), SYMBOLS), np.uint16)
+def signatures(sets: list[np.ndarray], symbols: int = SYMBOLS) -> np.ndarray:
+    """One row of 16-bit minima for each non-empty set."""
+    out = np.empty((len(sets), symbols), np.uint16)
     start = 0
     while start < len(sets):  # about a quarter million members at a time
         end, members = start, 0
@@ -102,39 +142,43 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
             end += 1
         flat = np.concatenate(sets[start:end])
         offsets = np.cumsum([0, *map(len, sets[start : end - 1])])
-        for j in range(SYMBOLS):
+        for j in range(symbols):
             least = np.minimum.reduceat((flat ^ _FLIP[j]) * _FACTOR[j], offsets)
             out[start:end, j] = (least * _MIX2) >> np.uint64(48)
         start = end
     return out
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo = WordHashes()
-    for batch in batches:
-        for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
-            sets = [shingles(t, memo) for t in part.column("text").cast(pa.binary()).to_pylist()]
-            full = [i for i, s in enumerate(sets) if len(s)]
-            sig: list[bytes | None] = [None] * len(sets)
-            for i, row in zip(full, signatures([sets[i] for i in full])):
-                sig[i] = row.tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(class_ids(sets)), pa.array(sig, pa.binary())],
-                ["doc_id", "n_shingles", "cid", "sig"],
-            )
+def _signed(symbols: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        for batch in batches:
+            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+                sets = [shingles(t, memo) for t in part.column("text").cast(pa.binary()).to_pylist()]
+                full = [i for i, s in enumerate(sets) if len(s)]
+                sig: list[bytes | None] = [None] * len(sets)
+                for i, row in zip(full, signatures([sets[i] for i in full], symbols)):
+                    sig[i] = row.tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(class_ids(sets)), pa.array(sig, pa.binary())],
+                    ["doc_id", "n_shingles", "cid", "sig"],
+                )
 
+    return run
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _keyed(batches: Iterator[pa.RecordBatch], shape: Layout = DEFAULT) -> Iterator[pa.RecordBatch]:
     """(key, cid) for every chunk and left-out symbol."""
+    width = shape.width
     for batch in batches:
         for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
             cid = part.column("cid").to_numpy()
-            sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS).astype(np.uint64)
-            for c in range(CHUNKS):
-                terms = [mix(sig[:, c * WIDTH + i] + np.uint64((c * WIDTH + i + 1) << 20)) for i in range(WIDTH)]
+            sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(-1, shape.symbols).astype(np.uint64)
+            for c in range(shape.chunks):
+                terms = [mix(sig[:, c * width + i] + np.uint64((c * width + i + 1) << 20)) for i in range(width)]
                 whole = sum(terms[1:], terms[0])
-                keys = np.concatenate([mix(whole - terms[i] + np.uint64((c * WIDTH + i) * 2 + 1)) for i in range(WIDTH)])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.tile(cid, WIDTH))], ["key", "cid"])
+                keys = np.concatenate([mix(whole - terms[i] + np.uint64((c * width + i) * 2 + 1)) for i in range(width)])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.tile(cid, width))], ["key", "cid"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +224,7 @@ def block_links(u: np.ndarray, v: np.ndarray, sigs: np.ndarray, raws: list[bytes
     A pair is compared if ``rank`` of v is the larger one (members that the pivot confirmed rank last), so once.
     Signatures decide what is compared; intersections with all of v come from one pass over the postings of a set's members.
     """
-    memo = WordHashes()
+    memo, most = WordHashes(), layout(percent).max_differ
     sets = {int(i): shingles(raws[i], memo) for i in np.union1d(u, v)}
     vs = [sets[int(i)] for i in v]
     sizes = np.array([len(s) for s in vs], np.int64)
@@ -191,7 +235,7 @@ def block_links(u: np.ndarray, v: np.ndarray, sigs: np.ndarray, raws: list[bytes
     group = joined.copy()
     found = []
     for i in u:
-        near = (sigs[i][None, :] != sigs[v]).sum(axis=1) <= MAX_DIFFER
+        near = (sigs[i][None, :] != sigs[v]).sum(axis=1) <= most
         near &= (group[v] != group[i]) & (rank[v] > rank[i])
         if not near.any():
             continue
@@ -213,7 +257,7 @@ def _compare(percent: int):
         if not len(u) or not len(v):
             return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
         cid = rows["cid"].to_numpy(np.int64)
-        sigs = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(-1, SYMBOLS)
+        sigs = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(-1, layout(percent).symbols)
         # members that the pivot confirmed are one group; a set that is on both sides is one as well
         linked = rows["linked"].to_numpy(bool)
         _, group = np.unique(cid, return_inverse=True)
@@ -257,13 +301,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     doc_id takes part, but never names its component (component_id is null if no row of it has a doc_id, and all its rows
     are kept then). An empty table gives no rows.
     """
-    spark = docs.sparkSession
+    spark, shape = docs.sparkSession, layout(percent)
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    signed = stored(source.mapInArrow(_signed, "doc_id bigint, n_shingles bigint, cid bigint, sig binary"), "signatures")
+    signed = stored(source.mapInArrow(_signed(shape.symbols), "doc_id bigint, n_shingles bigint, cid bigint, sig binary"), "signatures")
     full = signed.where("n_shingles > 0")
     classes = stored(full.groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), F.max("sig").alias("sig")), "classes")
 
-    keys = classes.select("cid", "sig").mapInArrow(_keyed, "key bigint, cid bigint")
+    keys = classes.select("cid", "sig").mapInArrow(lambda batches: _keyed(batches, shape), "key bigint, cid bigint")
     shared = keys.groupBy("key").agg(F.min("cid").alias("pivot"), F.max("cid").alias("_other")).where("pivot < _other").drop("_other")
     ties = keys.join(shared, "key").where("cid <> pivot").select("pivot", "cid").distinct()
     sides = classes.select(F.col("cid").alias("pivot"), F.col("sig").alias("sig_pivot"))
@@ -276,7 +320,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     texts = stored(texts.join(picked.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]), "texts")
 
     # Each tie against its pivot. A unit is a bounded part of a pivot's ties behind the pivot's own text.
-    near = ties.where(_differing("sig", "sig_pivot") <= MAX_DIFFER).select("pivot", "cid")
+    near = ties.where(_differing("sig", "sig_pivot", shape.symbols) <= shape.max_differ).select("pivot", "cid")
     parts = near.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("parts"))
     heads = parts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("pivot").alias("cid"), F.lit(True).alias("head"))
     rows = near.join(parts, "pivot").select("pivot", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part"), "cid", F.lit(False).alias("head"))
@@ -313,10 +357,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     return in_class.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _differing(a: str, b: str):
+def _differing(a: str, b: str, symbols: int):
     """Number of 16-bit symbols in which two signatures differ."""
     at = lambda c, i: F.hex(F.substring(F.col(c), i * 2 + 1, 2))
     total = F.lit(0)
-    for i in range(SYMBOLS):
+    for i in range(symbols):
         total = total + (at(a, i) != at(b, i)).cast("int")
     return total
