@@ -58,8 +58,16 @@ def _dot(a: Column | str, b: Column | str) -> Column:
 
 
 def integer_vector(vector: Column, scale: float = 256.0) -> Column:
-    """floor(scale * x) of each component, as double."""
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(scale)).cast("double"))
+    """floor(scale * x) of each component, as double; null, NaN and infinite components stay what they are.
+
+    FLOOR of a double is a long, which turns NaN into 0 and cuts infinities; doubles from 2^53 on are whole already.
+    """
+
+    def whole(x: Column) -> Column:
+        y = x.cast("double") * F.lit(scale)
+        return F.when(F.abs(y) < F.lit(2.0**53), F.floor(y).cast("double")).otherwise(y)
+
+    return F.transform(vector, whole)
 
 
 def top_k(rows: DataFrame, queries: Column, k: int = 5) -> DataFrame:
