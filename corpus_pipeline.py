@@ -57,7 +57,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' token ids with their place in sequences of at most 1024."""
-    return packing.pack_documents(docs, tokenizer_path(), limit=1024)
+    return packing.pack_documents(docs, tokenizer_path(), limit=1024, added=True)
 
 
 STAGES = [("language", language), ("near_dedup", near_dedup), ("secrets", secrets), ("mix", mix), ("pack", pack)]

@@ -24,7 +24,7 @@ from lexmill.llm.common import slots, stored
 END = 2
 ITERATIONS = 400
 ROUND_UP = 0.25  # fractions of a repeat count from here on become one repeat; the rest is left to best fit
-_TOKENIZERS: dict[str, Encoder] = {}
+_TOKENIZERS: dict[tuple[str, bool], Encoder] = {}
 
 
 def _byte_letters() -> dict[str, int]:
@@ -42,17 +42,18 @@ class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes, for a byte-level vocabulary file of the ``tokenizers`` library.
 
     If the file's merges are in the order of their ids, the same vocabulary is used as ranks of ``tiktoken``, which gives the same
-    ids in a fifth of the time. Strings of special tokens are ordinary text.
+    ids in a fifth of the time. ``added``: strings of the file's added tokens become those tokens, as in ``tokenizers`` by
+    default, and texts that hold one go through ``tokenizers``; else they are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
         layout = json.loads(self.tokenizer.to_str())
         model, cut_by = layout["model"], layout["pre_tokenizer"] or {}
         merges = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model.get("merges", [])]
@@ -60,6 +61,7 @@ class Encoder:
         ranked = [vocabulary.get(m, -1) for m in merges]
         plain = cut_by.get("type") == "ByteLevel" and cut_by.get("use_regex") and not cut_by.get("add_prefix_space") and not layout["normalizer"]
         self.fast = None
+        self.added = [t["content"] for t in layout["added_tokens"]] if added else []
         if plain and ranked == sorted(ranked) and min(ranked, default=-1) >= 256:
             import tiktoken
 
@@ -68,15 +70,16 @@ class Encoder:
             self.fast = tiktoken.Encoding("own", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        ids = self.fast.encode_ordinary(text) if self.fast else self.tokenizer.encode(text, add_special_tokens=False).ids
+        fast = self.fast and not any(t in text for t in self.added)
+        ids = self.fast.encode_ordinary(text) if fast else self.tokenizer.encode(text, add_special_tokens=False).ids
         return array("I", ids).tobytes()
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each Python process."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = Encoder(path)
-    return _TOKENIZERS[path]
+def encoder(path: str, added: bool = False) -> Encoder:
+    """One encoder of each kind for each Python process."""
+    if (path, added) not in _TOKENIZERS:
+        _TOKENIZERS[path, added] = Encoder(path, added)
+    return _TOKENIZERS[path, added]
 
 
 def cut(n: int, limit: int) -> list[tuple[int, int]]:
@@ -87,9 +90,9 @@ def cut(n: int, limit: int) -> list[tuple[int, int]]:
     return ([(0, first)] if first else []) + [(i, limit) for i in range(first, n, limit)]
 
 
-def _pieces(path: str, limit: int):
+def _pieces(path: str, limit: int, added: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, added)
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
@@ -222,17 +225,17 @@ class Placement:
         return sequence, offset
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, limit: int = 1024, added: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A document's ids are those of its whole text, then id 2. Defined cases: a null or empty text is the one id 2; repeated rows are
+    A document's ids are those of its whole text, then id 2; with ``added`` strings of added tokens are those tokens. Defined cases: a null or empty text is the one id 2; repeated rows are
     packed one by one; an empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     own = F.xxhash64("doc_id", "text", F.lit("pack"))
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), own.alias("own"), "text")
     schema = "doc_id bigint, own bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-    pieces = stored(source.mapInArrow(_pieces(tokenizer_path, limit), schema), "pieces")
+    pieces = stored(source.mapInArrow(_pieces(tokenizer_path, limit, added), schema), "pieces")
     counted = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most ``limit`` rows
     histogram = np.zeros(limit + 1, np.int64)
     for r in counted:

@@ -152,4 +152,4 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op10_best_fit_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), limit=1024)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), limit=1024, added=True)
