@@ -30,18 +30,27 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates; of rows that share their doc_id one stays.
+    """Keeps one document of each group of near-duplicates; documents without words are in no group.
 
-    Only ids are joined back: documents go if their id is among those of which no row is kept.
+    Decided by row, by a hash of doc_id and text: rows that share their doc_id with other texts stand each for itself, and only rows of
+    one group, or equal in doc_id and text, are reduced to one. Rows of a group in which none has a doc_id stay. Only hashes are joined back.
     """
-    kept = F.max(F.col("kept").cast("int"))
-    ids = stored(minhash.near_duplicates(docs, percent=NEAR).groupBy("doc_id").agg(kept.alias("kept"), F.sum(F.col("kept").cast("int")).alias("rows")), "kept")
-    out = with_keys(docs, ids.where("kept = 0"), "doc_id", without=True)
-    again = ids.where("rows > 1 and doc_id is not null")
-    if again.isEmpty():
-        return out
-    repeated = with_keys(out, again, "doc_id").dropDuplicates(["doc_id"])
-    return with_keys(out, again, "doc_id", without=True).unionByName(repeated)
+    group = F.xxhash64("doc_id", F.coalesce("label", "row_key"))
+    rows = stored(minhash.near_duplicates(docs, percent=NEAR, by_row=True).select("doc_id", "kept", "row_key", group.alias("group")), "kept")
+    named = rows.where("kept and doc_id is not null")
+    # several rows with the doc_id that names their group: those with the least hash stay, and one of them
+    several = stored(named.groupBy("group").agg(F.min("row_key").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "several")
+    lost = rows.where("not kept").select("row_key")
+    repeats = not several.isEmpty()
+    if repeats:
+        lost = lost.union(with_keys(with_keys(named, several, "group"), several.withColumnRenamed("least", "row_key"), "row_key", without=True).select("row_key"))
+    marked = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("bigint"), "text"))
+    out = with_keys(marked, stored(lost.select(F.col("row_key").alias("_row")).distinct(), "lost"), "_row", without=True)
+    if not repeats:
+        return out.drop("_row")
+    again = several.select(F.col("least").alias("_row"))
+    once = with_keys(out, again, "_row").dropDuplicates(["_row"])
+    return with_keys(out, again, "_row", without=True).unionByName(once).drop("_row")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

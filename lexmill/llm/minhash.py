@@ -149,7 +149,9 @@ def signatures(sets: list[np.ndarray], symbols: int = SYMBOLS) -> np.ndarray:
     return out
 
 
-def _signed(symbols: int):
+def _signed(symbols: int, extra: tuple[str, ...] = ()):
+    """doc_id, n_shingles, cid, sig and the ``extra`` columns as they are."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
@@ -160,8 +162,8 @@ def _signed(symbols: int):
                 for i, row in zip(full, signatures([sets[i] for i in full], symbols)):
                     sig[i] = row.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(class_ids(sets)), pa.array(sig, pa.binary())],
-                    ["doc_id", "n_shingles", "cid", "sig"],
+                    [part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(class_ids(sets)), pa.array(sig, pa.binary()), *map(part.column, extra)],
+                    ["doc_id", "n_shingles", "cid", "sig", *extra],
                 )
 
     return run
@@ -292,18 +294,22 @@ def components(edges: DataFrame, name: str = "edges") -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, by_row: bool = False) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Documents are linked if 100 * intersection >= percent * union of their shingle sets; component_id is the smallest doc_id
     reachable. Only the columns doc_id and text are read. Defined cases: a null or wordless text has an empty set and is
     linked with nothing; equal sets are one class and are compared once; repeated rows give repeated results; a row without
     doc_id takes part, but never names its component (component_id is null if no row of it has a doc_id, and all its rows
-    are kept then). An empty table gives no rows.
+    are kept then). An empty table gives no rows. ``by_row`` adds row_key (xxhash64 of doc_id and text) and label, a number of the
+    linked group (null for an empty set), which tell rows apart that share a doc_id.
     """
     spark, shape = docs.sparkSession, layout(percent)
+    extra, added = (("row_key",), ("row_key", "label")) if by_row else ((), ())
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    signed = stored(source.mapInArrow(_signed(shape.symbols), "doc_id bigint, n_shingles bigint, cid bigint, sig binary"), "signatures")
+    hashed = source.withColumn("row_key", F.xxhash64("doc_id", "text")) if by_row else source
+    schema = "doc_id bigint, n_shingles bigint, cid bigint, sig binary" + "".join(f", {c} bigint" for c in extra)
+    signed = stored(hashed.mapInArrow(_signed(shape.symbols, extra), schema), "signatures")
     full = signed.where("n_shingles > 0")
     classes = stored(full.groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), F.max("sig").alias("sig")), "classes")
 
@@ -351,9 +357,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     labels = components(edges)
     member = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "first_id", F.coalesce("label", "cid").alias("label"))
     smallest = member.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    named = stored(member.join(smallest, "label").select("cid", "component_id"), "named")
-    in_class = full.select("doc_id", "n_shingles", "cid").join(named, "cid").select("doc_id", "n_shingles", "component_id")
-    alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    named = stored(member.join(smallest, "label").select("cid", "component_id", "label"), "named")
+    in_class = full.select("doc_id", "n_shingles", "cid", *extra).join(named, "cid").select("doc_id", "n_shingles", "component_id", *added)
+    alone = signed.where("n_shingles = 0").withColumn("label", F.lit(None).cast("bigint")).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *added)
     return in_class.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

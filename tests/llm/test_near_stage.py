@@ -41,3 +41,12 @@ def test_pairs_between_080_and_085_are_linked(spark):
 def test_few_pairs_at_the_threshold_lie_beyond_the_keys(percent):
     assert minhash.layout(percent).miss(percent) <= minhash.MISS
     assert minhash.layout(percent).symbols <= len(minhash._FACTOR) == len(minhash._FLIP)
+
+
+def test_rows_that_share_their_id_are_decided_each(spark):
+    rng = random.Random(9)
+    a, b, c, d, e = (" ".join(words(rng, 60)) for _ in range(5))
+    rows = [(7, a), (7, b), (7, b), (3, c), (7, c), (9, d), (9, d + " more"), (None, e), (None, c), (5, e), (1, "%"), (2, None), (2, None)]
+    got = Counter(stage(spark, rows))
+    assert {k: n for k, n in got.items() if k[0] != 9} == {(7, a): 1, (7, b): 1, (3, c): 1, (5, e): 1, (1, "%"): 1, (2, None): 1}
+    assert sum(n for k, n in got.items() if k[0] == 9) == 1  # near copies with one id are one group
