@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -79,16 +80,16 @@ def train_bpe(
     vocab_size: int = VOCAB_SIZE,
     min_frequency: int = MIN_FREQUENCY,
     specials: tuple[str, ...] = SPECIALS,
-    candidates: int = 32,
-    checkpoint_every: int = 40,
+    candidates: int = 65_536,
+    most_segments: int = 200_000,
 ) -> Vocabulary:
     """Learn merges from a (pretoken, count) table, most frequent pair first, ties by lower ids.
 
-    Every word is one string of symbols ``<id><id>...``; a merge is a string replacement. One
-    aggregation finds the best ``candidates`` pairs. The leading ones that share no symbol are taken
-    together as long as no pair created by an earlier merge can overtake a later one, which the
-    counts of the triples around them bound; so the result equals one merge at a time. Only the
-    candidate rows (a fixed number) and the merges reach the driver.
+    Works in rounds. One aggregation finds the leading ``candidates`` pairs; words are cut wherever a pair is not among them, and equal
+    pieces are one segment with a count. Only segments reach the driver, at most ``most_segments``; if there are more, the round takes
+    fewer pairs. There merges are learned with counts updated by deltas, as long as the best pair comes before the first pair
+    left out. A pair that arises across a cut is no more frequent than the pair that was cut, so the result equals one merge at a
+    time over the whole table. A round merges its best pair at least.
     """
     hexed = cut_lineage(counts).where("pretoken <> ''").select(
         F.regexp_extract_all(F.hex(F.encode("pretoken", "UTF-8")), F.lit("(..)"), F.lit(1)).alias("bytes"),
@@ -100,91 +101,148 @@ def train_bpe(
     lookup = F.from_json(F.lit(json.dumps(ids)), "map<string,int>")
     # One task per core: the table is small next to the corpus but read once per round.
     words = cut_lineage(
-        hexed.repartition(counts.sparkSession.sparkContext.defaultParallelism).select(
-            F.array_join(
-                F.transform("bytes", lambda x: F.concat(F.lit("<"), F.element_at(lookup, x), F.lit(">"))), ""
-            ).alias("sym"),
-            "n",
-        )
+        hexed.repartition(counts.sparkSession.sparkContext.defaultParallelism)
+        .select(F.transform("bytes", lambda x: F.element_at(lookup, x)).alias("ids"), "n").where(F.size("ids") > 1)
     )
-    pending = 0
+    taken = candidates
     while vocabulary.size < vocab_size:
-        room = vocab_size - vocabulary.size
-        best = _best_pairs(words, min(candidates, room), min_frequency)
+        best = _best_pairs(words, taken + 1, min_frequency)
         if not best:
             break
-        for a, b in _exact_prefix(words, best):
-            new = vocabulary.size
-            vocabulary.merges.append((a, b))
-            words = words.withColumn("sym", F.replace("sym", F.lit(f"<{a}><{b}>"), F.lit(f"<{new}>")))
-            pending += 1
-        if pending >= checkpoint_every:
+        while True:
+            leading, after = best[:taken], best[taken] if len(best) > taken else None
+            # the runs of one pair differ in their length only
+            segments = _segments(words, {(a, b) for a, b, _ in leading}, most_segments + 1 if taken > 1 else None)
+            if len(segments) <= most_segments or taken == 1:
+                break
+            taken = max(1, min(taken, len(best)) // 2)
+        first = vocabulary.size
+        merges = learn_merges(segments, first, vocab_size - first, min_frequency, after)
+        vocabulary.merges.extend(merges)
+        if vocabulary.size < vocab_size:
+            ranks = {pair: i for i, pair in enumerate(merges)}
+            merged = _each_word(lambda ids, ranks=ranks, first=first: merge_pairs(ids, ranks, first), T.ArrayType(T.IntegerType()))
             # A word of one symbol takes part in no further merge.
-            words, pending = cut_lineage(words.where(F.instr("sym", "><") > 0)), 0
+            words = cut_lineage(words.select(merged("ids").alias("ids"), "n").where(F.size("ids") > 1))
+        if len(segments) < most_segments // 4:
+            taken = min(candidates, taken * 4)
     return vocabulary
 
 
-def _symbol_ids(sym: str = "sym") -> Column:
-    return F.regexp_extract_all(sym, F.lit(r"(\d+)"), F.lit(1)).cast("array<int>")
+def _each_word(fn, kind: T.DataType):
+    @F.pandas_udf(kind)
+    def run(words: pd.Series) -> pd.Series:
+        return words.map(lambda ids: fn([int(x) for x in ids]))
+
+    return run
 
 
 def _best_pairs(words: DataFrame, k: int, min_frequency: int) -> list[tuple[int, int, int]]:
     ids = F.col("ids")
     pairs = (
-        words.select(_symbol_ids().alias("ids"), "n")
-        .select(
-            F.explode_outer(
+        words.select(
+            F.explode(
                 F.zip_with(
-                    ids, F.expr("slice(ids, 2, size(ids))"), lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+                    F.expr("slice(ids, 1, size(ids) - 1)"), F.expr("slice(ids, 2, size(ids))"),
+                    lambda a, b: F.struct(a.alias("a"), b.alias("b")),
                 )
             ).alias("p"),
             "n",
         )
-        .where("p.b is not null")
         .groupBy("p.a", "p.b").agg(F.sum("n").alias("n"))
         .where(F.col("n") >= min_frequency)
     )
     return [tuple(r) for r in pairs.orderBy(F.desc("n"), "a", "b").limit(k).collect()]
 
 
-def _exact_prefix(words: DataFrame, best: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """The longest prefix of the candidate merges that is safe to apply in one go."""
-    used, disjoint = set(), []
-    for a, b, n in best:
-        if used & {a, b}:
+def cut_apart(ids: list[int], inside: set[tuple[int, int]]) -> list[list[int]]:
+    """Longest runs of at least two symbols whose neighbouring pairs are all in ``inside``."""
+    out, run = [], ids[:1]
+    for pair in zip(ids, ids[1:]):
+        if pair in inside:
+            run.append(pair[1])
+            continue
+        if len(run) > 1:
+            out.append(run)
+        run = [pair[1]]
+    return [*out, run] if len(run) > 1 else out
+
+
+def _segments(words: DataFrame, inside: set[tuple[int, int]], most: int | None) -> list[tuple[list[int], int]]:
+    """Distinct segments with their counts, at most ``most`` if given."""
+    cut = _each_word(lambda ids: cut_apart(ids, inside), T.ArrayType(T.ArrayType(T.IntegerType())))
+    found = words.select(F.explode(cut("ids")).alias("segment"), "n").groupBy("segment").agg(F.sum("n").alias("n"))
+    return [(list(r[0]), r[1]) for r in (found.limit(most) if most else found).collect()]
+
+
+def replaced(ids: list[int], a: int, b: int, new: int) -> list[int]:
+    """``ids`` with every pair (a, b), from the left, replaced by ``new``."""
+    out, i, last = [], 0, len(ids) - 1
+    while i <= last:
+        if i < last and ids[i] == a and ids[i + 1] == b:
+            out.append(new)
+            i += 2
+        else:
+            out.append(ids[i])
+            i += 1
+    return out
+
+
+def merge_pairs(ids: list[int], ranks: dict[tuple[int, int], int], first: int) -> list[int]:
+    """Merges applied in the order of their ranks; the merge of rank r makes the id ``first`` + r."""
+    none = len(ranks)
+    while len(ids) > 1:
+        rank, a, b = min((ranks.get(p, none), *p) for p in zip(ids, ids[1:]))
+        if rank == none:
             break
-        used |= {a, b}
-        disjoint.append((a, b, n))
-    if len(disjoint) == 1:
-        return [best[0][:2]]
-    # Count, per candidate pair, its neighbours on the left and on the right.
-    earlier = {f"<{a}><{b}>": i for i, (a, b, _) in enumerate(disjoint[:-1])}
-    any_pair = "(" + "|".join(earlier) + ")"
-
-    def neighbours(side: str, pattern: str, pair: int, other: int) -> Column:
-        found = F.regexp_extract_all("sym", F.lit(pattern), F.lit(pair))
-        beside = F.regexp_extract_all("sym", F.lit(pattern), F.lit(other))
-        return F.zip_with(
-            found, beside, lambda p, x: F.struct(p.alias("pair"), F.lit(side).alias("side"), x.alias("x"))
-        )
-
-    triples = F.concat(
-        neighbours("left", rf"<(\d+)>(?={any_pair})", 2, 1), neighbours("right", rf"{any_pair}(?=<(\d+)>)", 1, 2)
-    )
-    counted = (
-        words.where(F.col("sym").rlike(any_pair)).select(F.explode_outer(triples).alias("t"), "n")
-        .where("t is not null")
-        .groupBy("t.pair", "t.side", "t.x").agg(F.sum("n").alias("n"))
-        .groupBy("pair").agg(F.max("n")).collect()
-    )
-    bounds = {earlier[pair]: n for pair, n in counted}
-    taken, ceiling = [], 0
-    for i, (a, b, n) in enumerate(disjoint):
-        if i and ceiling >= n:
+        ids = replaced(ids, a, b, first + rank)
+    return ids
+
+
+def learn_merges(
+    segments: list[tuple[list[int], int]], first: int, room: int, min_frequency: int, after: tuple[int, int, int] | None
+) -> list[tuple[int, int]]:
+    """At most ``room`` merges, each of the best pair (count, then lower ids), while it comes before the pair ``after`` (a, b, n)."""
+    counts: dict[tuple[int, int], int] = {}
+    where: dict[tuple[int, int], set[int]] = {}
+    for i, (ids, n) in enumerate(segments):
+        for pair in zip(ids, ids[1:]):
+            counts[pair] = counts.get(pair, 0) + n
+            where.setdefault(pair, set()).add(i)
+    end = (-after[2], after[0], after[1]) if after else (1, 0, 0)
+    segments = list(segments)
+    heap = [(-n, *pair) for pair, n in counts.items()]
+    heapq.heapify(heap)
+    merges: list[tuple[int, int]] = []
+    while heap and len(merges) < room:
+        best = heapq.heappop(heap)
+        n, a, b = -best[0], *best[1:]
+        if counts.get((a, b), 0) != n:  # its present count has an entry of its own
+            continue
+        if n < min_frequency or best >= end:
             break
-        taken.append((a, b))
-        ceiling = max(ceiling, bounds.get(i, 0))
-    return taken
+        new, changed = first + len(merges), set()
+        merges.append((a, b))
+        for i in where.pop((a, b)):
+            ids, n = segments[i]
+            after_merge = replaced(ids, a, b, new)
+            if len(after_merge) == len(ids):
+                continue
+            for pair in zip(ids, ids[1:]):
+                counts[pair] -= n
+                changed.add(pair)
+            for pair in zip(after_merge, after_merge[1:]):
+                counts[pair] = counts.get(pair, 0) + n
+                where.setdefault(pair, set()).add(i)
+                changed.add(pair)
+            segments[i] = (after_merge, n)
+        for pair in changed:
+            if counts[pair] > 0:
+                heapq.heappush(heap, (-counts[pair], *pair))
+            else:
+                del counts[pair]
+                where.pop(pair, None)
+    return merges
 
 
 def vocabulary_table(docs_vocab: Vocabulary, spark) -> DataFrame:

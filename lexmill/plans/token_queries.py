@@ -9,7 +9,7 @@ from lexmill.operators import tokens as tk
 from lexmill.plans import sqlparts as sq
 from lexmill.plans.registry import query, table
 
-VOCAB, LENGTH, OFFSET, SEED = 131, 128, 7, 42
+VOCAB, LENGTH, OFFSET, SEED = tk.VOCAB_SIZE, 128, 7, 42
 MASK, BOS, EOS, CLS = 1, 2, 3, 4
 
 
