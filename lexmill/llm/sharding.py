@@ -1,7 +1,7 @@
 """Shards of equal size by vector bin packing.
 
 Bytes, words and rows are balanced together. Documents with equal text form a group and share a shard, unless the group is larger than
-a shard, when it is split by a hash of the document. Groups (or parts) of at least ``1 / FINE`` of a shard in any measure are packed one
+a shard, when it is split by a hash of the document and its row number. Groups (or parts) of at least ``1 / FINE`` of a shard in any measure are packed one
 by one, and the many small ones are packed as cells of groups chosen by a hash of the text. So the packing list has at most
 ``shards * FINE * 4`` large units and ``shards * FINE`` cells, whatever the corpus; it is packed on the driver, largest first,
 each unit to the shard where the dot product of its size and the residual capacity is highest.
@@ -57,7 +57,8 @@ def assign_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
             F.when(F.col("text").isNotNull(), F.crc32(F.col("text").cast("binary"))).alias("text_crc32"),
             F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("words"),
             F.xxhash64("text").alias("group"),
-            F.xxhash64("doc_id", "text", F.lit("part")).alias("own"),
+            # the row number tells repeated rows apart; it is written once, here
+            F.xxhash64("doc_id", "text", F.lit("part"), F.monotonically_increasing_id()).alias("own"),
         ), "sizes",
     )
     sums = [F.sum("size").alias("bytes"), F.sum("words").alias("words"), F.count(F.lit(1)).alias("rows")]
