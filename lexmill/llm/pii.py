@@ -1,7 +1,7 @@
 """Personal data: fixed patterns as seeds, and bootstrapped contextual extraction. Column functions only.
 
-The labels and content words before a seed are lexical patterns. Other tokens with digits are instances that patterns may
-introduce. In the graph of patterns and instances scores go back and forth ROUNDS times: a pattern's score is the mean score
+The labels and content words before a seed are lexical patterns. Other tokens with a digit and at least LEAST letters and digits, of
+any case and with inner signs or blanks between groups of digits, are instances that patterns may introduce. In the graph of patterns and instances scores go back and forth ROUNDS times: a pattern's score is the mean score
 of what it introduces, shrunk by one unseen instance of score 0; an instance's score is the noisy-or over its patterns; seeds
 keep score 1. Tokens behind a pattern of at least CONFIDENT whose support is MIN_SEEDS distinct seeds are identifiers of kind
 ``context``. Edges are distinct (pattern, instance) pairs, so copies of a document do not add weight.
@@ -23,7 +23,11 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-TOKEN = r"(?<![\p{L}0-9])[0-9A-Z-]{5,}(?![\p{L}0-9])"
+# Instances: maximal runs with a digit, of letters, digits and . / _ @ -, and groups of digits behind them that single blanks join.
+# Signs at the ends do not belong to an instance.
+SIGNS = "./_@-"
+TOKEN = r"(?<![\p{L}0-9./_@-])(?=[\p{L}./_@-]*+[0-9])[\p{L}0-9./_@-]++(?:(?<=[0-9])\x20[0-9]++(?![\p{L}/_@-]|\.[\p{L}0-9]))*+"
+LEAST = 5  # letters and digits of an instance; shorter ones (ages, years, 12 34) are no identifiers
 BEFORE = 60  # code points before a token in which its words are looked for
 ROUNDS = 3
 CONFIDENT = 0.75
@@ -85,11 +89,21 @@ def _patterns(text: Column, start: Column) -> Column:
     return let(F.lower(F.substring(text, from_ + 1, start - from_)), of)
 
 
+def _trimmed(spans: Column) -> Column:
+    """Spans without the signs at their ends."""
+    ends = lambda value: F.length(value) - F.length(F.rtrim(value, F.lit(SIGNS)))
+    starts = lambda value: F.length(value) - F.length(F.ltrim(value, F.lit(SIGNS)))
+    return F.transform(spans, lambda s: F.struct(
+        (s["start"] + starts(s["value"])).alias("start"), (s["end"] - ends(s["value"])).alias("end"),
+        F.rtrim(F.ltrim(s["value"], F.lit(SIGNS)), F.lit(SIGNS)).alias("value"),
+    ))
+
+
 def scanned(docs: DataFrame) -> DataFrame:
     """doc_id and text's spans of the four kinds, _seeds and _tokens (spans with instance and patterns)."""
     text = F.col("text")
     found = docs.withColumns({f"_{k}": spans for k, spans in base_spans(text).items()})
-    tokens = outside(find(text, TOKEN, lambda m: F.length(_digits(m)) >= 4), F.concat(*[F.col(f"_{k}") for k in KINDS]))
+    tokens = outside(_trimmed(find(text, TOKEN, lambda m: F.length(F.regexp_replace(m, r"[^\p{L}0-9]", "")) >= LEAST)), F.concat(*[F.col(f"_{k}") for k in KINDS]))
     found = found.withColumn("_free", tokens)
     marked = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), _patterns(text, s["start"]).alias("patterns")))
     return found.withColumns({"_seeds": marked(F.concat(*[F.col(f"_{k}") for k in KINDS])), "_tokens": marked(F.col("_free"))})
