@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import hnsw, langid, minhash, mixing, packing, pii, secret_scan, sharding, urls, vafile
+from lexmill.llm import hnsw, langid, minhash, mixing, packing, pii, secret_scan, sharding, simhash, urls, vafile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -153,3 +153,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_best_fit_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), limit=1024, added=True)
+
+
+@_query("op11_simhash_dedup")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))

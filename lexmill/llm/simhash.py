@@ -230,6 +230,7 @@ def forest(prints: np.ndarray, members: np.ndarray, asking: np.ndarray, radius:
             stack += [(m[~mb], q, idle), (m[mb], q[~qb], idle)]
             continue
         v, middle, dm = vantage(prints[m], prints[m])
+        middle = min(middle, int(dm.max()) - 1)  # distinct fingerprints: both branches have members, so each step has fewer
         dq = distances(prints[q], v).astype(np.int64)
         at = int(m[np.flatnonzero(dm == 0)[0]])
         near = np.concatenate([m[dm <= radius], q[dq <= radius]])
