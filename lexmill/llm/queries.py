@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import hnsw, langid, minhash, mixing, packing, pii, secret_scan, sharding, simhash, urls, vafile
+from lexmill.llm import hnsw, langid, minhash, mixing, packing, pii, secret_scan, sharding, simhash, urls, vafile, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -158,3 +158,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op11_simhash_dedup")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@_query("op13_spelling_variants")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"), misspelt=199)
