@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import hnsw, langid, minhash, mixing, packing, pii, secret_scan, sharding, simhash, urls, vafile, variants
+from lexmill.llm import gnat, hnsw, langid, minhash, mixing, packing, pii, secret_scan, sharding, simhash, urls, vafile, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -160,6 +160,28 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@_query("op12_hard_negatives", """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_dot_product(a.e, c.e) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS k FROM s WHERE same),
+n AS (
+  SELECT o.anchor_id, o.vec_id AS positive_id, s.vec_id AS negative_id, o.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY o.anchor_id, o.vec_id ORDER BY s.score DESC, s.vec_id) AS k
+  FROM o JOIN s ON o.k <= 5 AND o.anchor_id = s.anchor_id AND NOT s.same AND 30 * o.score <= 100 * s.score AND 100 * s.score <= 90 * o.score)
+SELECT anchor_id, positive_id, CAST(k AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE k <= 10
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), vafile.integer_vector(F.col("embedding")).alias("vector"))
+    found = gnat.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+    return found.withColumns({c: F.col(c).cast("bigint") for c in ("positive_score", "negative_score")})
+
+
 @_query("op13_spelling_variants")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(table(spark, sf_dir, "documents"), misspelt=199)
