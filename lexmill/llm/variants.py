@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.common import stored
 
-# Letters of a word: the alphabet of replacements, as code points.
-LETTERS = [*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0xC0, 0x100)]
+# Letters of a word: the alphabet of replacements, as code points. The common ones stand last, as a letter is only replaced by later ones.
+LETTERS = [*range(ord("A"), ord("Z") + 1), *range(0xC0, 0x100), *range(ord("a"), ord("z") + 1)]
 RUN = "[A-Za-zÀ-ÿ]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BITS = 24
@@ -32,6 +32,9 @@ EDITS = 2_000_000
 
 _rng = np.random.default_rng(20240601)
 _LETTER = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ALPHABET = np.array(LETTERS, np.uint8)
+_PLACE = np.zeros(256, np.int64)
+_PLACE[_ALPHABET] = np.arange(len(LETTERS))
 _BASE = 0x9E3779B97F4A7C15
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -102,13 +105,15 @@ def neighbours(words: list[str], length: int, held) -> tuple[list[str], list[str
         own.append(words[w])
         found.append(words[w][:i] + words[w][i + 1 :])
     whole, powers = hashes(letters), _powers(length)
-    alphabet = np.array(LETTERS, np.uint8)
     for i in range(length):
         base = whole - _LETTER[letters[:, i]] * powers[i]
-        hit = held(length, base[:, None] + _LETTER[alphabet][None, :] * powers[i]) & (alphabet[None, :] > letters[:, i][:, None])
-        for w, a in zip(*np.nonzero(hit)):
+        later = len(LETTERS) - 1 - _PLACE[letters[:, i]]
+        row = np.repeat(np.arange(len(words)), later)
+        letter = _ALPHABET[len(LETTERS) - 1 - (np.arange(len(row)) - np.repeat(later.cumsum() - later, later))]
+        hit = np.flatnonzero(held(length, base[row] + _LETTER[letter] * powers[i]))
+        for w, c in zip(row[hit], letter[hit]):
             own.append(words[w])
-            found.append(words[w][:i] + chr(alphabet[a]) + words[w][i + 1 :])
+            found.append(words[w][:i] + chr(c) + words[w][i + 1 :])
     return own, found
 
 

@@ -80,7 +80,7 @@ def test_edits_are_the_deletions_and_later_replacements(words):
     own, found = variants.neighbours(words, length, lambda n, h: h == h)
     letters = [chr(c) for c in variants.LETTERS]
     expected = {(w, w[:i] + w[i + 1 :]) for w in words for i in range(length)}
-    expected |= {(w, w[:i] + c + w[i + 1 :]) for w in words for i in range(length) for c in letters if c > w[i]}
+    expected |= {(w, w[:i] + c + w[i + 1 :]) for w in words for i in range(length) for c in letters if letters.index(c) > letters.index(w[i])}
     assert sorted(zip(own, found)) == sorted(expected)
 
 
