@@ -1,10 +1,11 @@
 """Personal data: fixed patterns as seeds, and bootstrapped contextual extraction. Column functions only.
 
 The labels and content words before a seed are lexical patterns. Other tokens with a digit and at least LEAST letters and digits, of
-any case and with inner signs or blanks between groups of digits, are instances that patterns may introduce. In the graph of patterns and instances scores go back and forth ROUNDS times: a pattern's score is the mean score
+any case and with inner signs or blanks between groups of digits, are instances that patterns may introduce. In the graph of patterns and instances scores go back and forth, ROUNDS times at least: a pattern's score is the mean score
 of what it introduces, shrunk by one unseen instance of score 0; an instance's score is the noisy-or over its patterns; seeds
-keep score 1. Tokens behind a pattern of at least CONFIDENT whose support is MIN_SEEDS distinct seeds are identifiers of kind
-``context``. Edges are distinct (pattern, instance) pairs, so copies of a document do not add weight.
+keep score 1. A pattern of at least CONFIDENT whose support is MIN_SEEDS distinct seeds or confirmed instances is confident, and what it
+introduces is confirmed: it has score 1 from then on and supports the other patterns before it, so the rounds reach patterns that no seed
+stands behind. They go on until none is added. Tokens behind a confident pattern are identifiers of kind ``context``. Edges are distinct (pattern, instance) pairs, so copies of a document do not add weight.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ SIGNS = "./_@-"
 TOKEN = r"(?<![\p{L}0-9./_@-])(?=[\p{L}./_@-]*+[0-9])[\p{L}0-9./_@-]++(?:(?<=[0-9])\x20[0-9]++(?![\p{L}/_@-]|\.[\p{L}0-9]))*+"
 LEAST = 5  # letters and digits of an instance; shorter ones (ages, years, 12 34) are no identifiers
 BEFORE = 60  # code points before a token in which its words are looked for
-ROUNDS = 3
+ROUNDS = 3  # at least; more as long as they add patterns
 CONFIDENT = 0.75
 MIN_SEEDS = 4
 
@@ -110,22 +111,33 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 
 def confident_patterns(found: DataFrame) -> DataFrame:
-    """(pattern): those whose final score and number of distinct seeds are high enough."""
+    """(pattern): those whose score and support become high enough; once confident, a pattern stays so."""
 
     def edges(column: str, seed: bool) -> DataFrame:
         each = found.select(F.explode(column).alias("x")).select(F.explode("x.patterns").alias("pattern"), F.col("x.value").alias("instance"))
         return each.distinct().withColumn("seed", F.lit(seed))
 
     graph = stored(edges("_seeds", True).union(edges("_tokens", False)), "graph")
-    support = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("seed").cast("int")).alias("seeds"))
-    scores = stored(support.withColumn("score", F.col("seeds") / (F.col("n") + 1.0)), "scores")
+    enough = (F.col("score") >= CONFIDENT) & (F.col("support") >= MIN_SEEDS)
+    counted = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("seed").cast("int")).alias("seeds"))
+    first = counted.withColumns({"score": F.col("seeds") / (F.col("n") + 1.0), "support": F.col("seeds")})
+    scores = stored(first.select("pattern", "n", "seeds", "score", enough.alias("confident")), "scores")
     free = graph.where("not seed").select("pattern", "instance")
-    for _ in range(ROUNDS):
-        instances = free.join(scores.select("pattern", "score"), "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.least("score", F.lit(0.999)))))).alias("s"))
-        gained = free.join(instances, "instance").groupBy("pattern").agg(F.sum("s").alias("gained"))
-        after = scores.drop("score").join(gained, "pattern", "left")
-        scores = stored(after.select("pattern", "n", "seeds", ((F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / (F.col("n") + 1.0)).alias("score")), "scores")
-    return scores.where((F.col("score") >= CONFIDENT) & (F.col("seeds") >= MIN_SEEDS)).select("pattern")
+    known, rounds = scores.where("confident").count(), 0
+    while True:
+        either = 1 - F.exp(F.sum(F.log(1 - F.least("score", F.lit(0.999)))))
+        instances = (
+            free.join(scores.select("pattern", "score", "confident"), "pattern").groupBy("instance").agg(F.max("confident").alias("confirmed"), either.alias("either"))
+            .select("instance", F.col("confirmed").cast("int").alias("confirmed"), F.when(F.col("confirmed"), F.lit(1.0)).otherwise(F.col("either")).alias("s"))
+        )
+        gained = free.join(instances, "instance").groupBy("pattern").agg(F.sum("s").alias("gained"), F.sum("confirmed").alias("more"))
+        after = scores.drop("score").join(gained, "pattern", "left").withColumns({
+            "score": (F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / (F.col("n") + 1.0), "support": F.col("seeds") + F.coalesce("more", F.lit(0)),
+        })
+        scores = stored(after.select("pattern", "n", "seeds", "score", (F.col("confident") | enough).alias("confident")), "scores")
+        before, known, rounds = known, scores.where("confident").count(), rounds + 1
+        if rounds >= ROUNDS and known == before:
+            return scores.where("confident").select("pattern")
 
 
 def extract(docs: DataFrame) -> DataFrame:
