@@ -2,11 +2,14 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next stage's docs.
 All but the last return the columns of documents. Defined cases: empty tables pass through; null texts have no language and go with
-the first stage; columns beside those of documents are kept by the filtering stages.
+the first stage; columns beside those of documents are kept, whatever their names, by all stages but the last.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,22 @@ MARK = "[SECRET]"
 NEAR = 80
 
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _own_names(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage with the other columns under names that no operator makes, and under their own ones again behind it."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = docs.columns
+        out = stage(spark, docs.toDF(*[c if c in COLUMNS else f"carried column {i}" for i, c in enumerate(names)]), sf_dir)
+        return out.toDF(*names)
+
+    return run_stage
+
+
+@_own_names
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language is identified (lang becomes the prediction where it was null)."""
     found = langid.identify(docs).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE))
@@ -29,6 +48,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return named.select(*docs.columns)
 
 
+@_own_names
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates; documents without words are in no group.
 
@@ -47,18 +67,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     marked = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("bigint"), "text"))
     out = with_keys(marked, stored(lost.select(F.col("row_key").alias("_row")).distinct(), "lost"), "_row", without=True)
     if not repeats:
-        return out.drop("_row")
+        return out.select(*docs.columns)
     again = several.select(F.col("least").alias("_row"))
     once = with_keys(out, again, "_row").dropDuplicates(["_row"])
-    return with_keys(out, again, "_row", without=True).unionByName(once).drop("_row")
+    return with_keys(out, again, "_row", without=True).unionByName(once).select(*docs.columns)
 
 
+@_own_names
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret by a mark; n_chars follows the text. No document goes."""
     found = secret_scan.spans_of(docs)
     return found.withColumn("text", redacted(F.col("text"), F.col("_spans"), MARK)).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
+@_own_names
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of the sources at their target weights; a document that is taken twice stands in it twice."""
     return mixing.mixed(docs).select(*docs.columns)
@@ -66,7 +88,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' token ids with their place in sequences of at most 1024."""
-    return packing.pack_documents(docs, tokenizer_path(), limit=1024, added=True)
+    return packing.pack_documents(docs.select("doc_id", "text"), tokenizer_path(), limit=1024, added=True)
 
 
 STAGES = [("language", language), ("near_dedup", near_dedup), ("secrets", secrets), ("mix", mix), ("pack", pack)]
