@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexmill.functions import numeric as nm
-from lexmill.operators import acquisition, metrics, stats, trials
+from lexmill.operators import acquisition, metrics, pair_ranks, stats, trials
 from lexmill.plans.registry import query, table
 
 BETAS = [0.5, 1.0, 2.0, 5.0, 10.0, 20.0]
@@ -316,6 +316,22 @@ def rsa_pearson(spark, sf):
     return stats.rsa_pearson_vectors(vectors, halves).withColumn("r", F.round("r", 6))
 
 
+@query(
+    "rsa_spearman_all_pairs",
+    """WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / SQRT(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v)))) AS e,
+      list_transform(embedding[1:32], lambda x: x::DOUBLE / SQRT(list_sum(list_transform(embedding[1:32], lambda v: v::DOUBLE * v)))) AS h FROM embeddings),
+    p AS (SELECT ROUND(list_dot_product(a.e, b.e), 6) AS s, ROUND(list_dot_product(a.h, b.h), 6) AS t FROM u a JOIN u b ON a.vec_id > b.vec_id),
+    r AS (SELECT RANK() OVER (ORDER BY s) + (COUNT(*) OVER (PARTITION BY s) - 1) / 2 AS a,
+      RANK() OVER (ORDER BY t) + (COUNT(*) OVER (PARTITION BY t) - 1) / 2 AS b FROM p)
+    SELECT ROUND(CORR(a, b), 6) AS rho, COUNT(*) AS n_pairs FROM r""",
+)
+def rsa_spearman_all_pairs(spark, sf):
+    """All pairs of vectors against all pairs of their first halves: ranks of pairs of which none becomes a row."""
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    halves = vectors.select("vec_id", F.slice("embedding", 1, 32).alias("embedding"))
+    return pair_ranks.rsa_spearman_vectors(vectors, halves).select(F.round("rho", 6).alias("rho"), "n_pairs")
+
+
 # ---- age of acquisition --------------------------------------------------------------------------
 
 # Words are users; "16".."30" are the share of clicks and views per hour of the day (24 hours on 15 ages).
