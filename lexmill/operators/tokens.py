@@ -260,6 +260,32 @@ def token_frequencies(encoded: DataFrame, tokens: str = "tokens") -> DataFrame:
     )
 
 
+def merged_ids(ids: list[int], ranks: dict[tuple[int, int], int], base: int) -> list[int]:
+    """``ids`` after all merges: always the pair of the lowest rank, the leftmost first, becomes the id base + rank.
+
+    The pairs wait in a heap and the ids in a linked list, so n ids take n log n steps. An entry whose pair has changed since is passed over;
+    a merge makes only pairs of higher ranks, as they hold the id it has made.
+    """
+    n = len(ids)
+    left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+    heap = [(ranks[pair], i) for i, pair in enumerate(zip(ids, ids[1:])) if pair in ranks]
+    heapq.heapify(heap)
+    gone = -1
+    while heap:
+        rank, i = heapq.heappop(heap)
+        k = right[i]
+        if k >= n or ranks.get((ids[i], ids[k])) != rank:
+            continue
+        ids[i], ids[k], after, before = base + rank, gone, right[k], left[i]
+        right[i] = after
+        if after < n:
+            left[after] = i
+        for at, to in ((before, i), (i, after)):
+            if at >= 0 and to < n and (ids[at], ids[to]) in ranks:
+                heapq.heappush(heap, (ranks[ids[at], ids[to]], at))
+    return [x for x in ids if x != gone]
+
+
 def encoder(vocabulary: Vocabulary, memo_size: int = 200_000):
     """Column function array<string> of pre-tokens -> array<int> of ids.
 
@@ -275,21 +301,7 @@ def encoder(vocabulary: Vocabulary, memo_size: int = 200_000):
         memo: dict[str, list[int]] = {}
 
         def word_ids(word: str) -> list[int]:
-            ids = [byte_ids[b] for b in word.encode() if b in byte_ids]
-            while len(ids) > 1:
-                rank, at = min((ranks.get(p, base + len(ranks)), i) for i, p in enumerate(zip(ids, ids[1:])))
-                if rank >= len(ranks):
-                    break
-                pair, merged, i = vocabulary.merges[rank], [], 0
-                while i < len(ids):
-                    if i + 1 < len(ids) and (ids[i], ids[i + 1]) == pair:
-                        merged.append(base + rank)
-                        i += 2
-                    else:
-                        merged.append(ids[i])
-                        i += 1
-                ids = merged
-            return ids
+            return merged_ids([byte_ids[b] for b in word.encode() if b in byte_ids], ranks, base)
 
         def encode_all(pieces) -> list[int]:
             out: list[int] = []

@@ -1,5 +1,8 @@
 """Vocabulary learning and encoding against a public tokenizer library; packing by invariants."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +105,39 @@ def test_short_sequences(spark):
     df = spark.createDataFrame([([],), ([1],), ([1, 2],)], "tokens array<int>")
     rows = [(r["inputs"], r["targets"]) for r in tk.next_token_pairs(df).collect()]
     assert rows == [([], []), ([], []), ([1], [2])]
+
+
+def _merged_by_scans(ids, merges, base):
+    for rank, pair in enumerate(merges):
+        out, i = [], 0
+        while i < len(ids):
+            hit = tuple(ids[i : i + 2]) == pair
+            out.append(base + rank if hit else ids[i])
+            i += 2 if hit else 1
+        ids = out
+    return ids
+
+
+def test_heap_of_merges_equals_scans():
+    rng = random.Random(5)
+    for trial in range(300):
+        base, merges = 4, []
+        while len(merges) < 12:
+            pair = (rng.randrange(base + len(merges)), rng.randrange(base + len(merges)))
+            if pair not in merges:
+                merges.append(pair)
+        ids = [rng.randrange(base) for _ in range(trial % 60)]
+        assert tk.merged_ids(list(ids), {p: i for i, p in enumerate(merges)}, base) == _merged_by_scans(ids, merges, base)
+
+
+@needs_library
+def test_very_long_pretoken(spark):
+    """A word of 1,000,000 letters: same ids as the library, in seconds."""
+    _, vocabulary = trained(spark, TEXTS, 120)
+    rng = random.Random(6)
+    long = "".join(rng.choice("abnesth") for _ in range(1_000_000))
+    docs = spark.createDataFrame([(1, long)], "doc_id bigint, text string")
+    start = time.time()
+    got = tk.encode_docs(docs, vocabulary).first()["tokens"]
+    assert time.time() - start < 60
+    assert got == library(TEXTS, 120).encode(long).ids
