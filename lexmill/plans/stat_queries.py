@@ -255,15 +255,33 @@ def best_grid_beta_by_group(spark, sf):
     return trials.best_of_grid(by_beta, ("label",)).withColumn("mean_kl", F.round("mean_kl", 6))
 
 
-@query("best_beta")
+# Narrowing grids: each level has 33 betas around the best one so far, spaced by a power of 1.26 that shrinks 16 times.
+def _narrowed_sql(key: str, levels: int = 5) -> str:
+    values = f"""v0 AS MATERIALIZED (SELECT {key} AS label, {_softmax_sql(_VALUES, '1.0::DOUBLE')} AS p, {_LOGITS} AS x
+      FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id - 1, {_EACH})"""
+    parts, around = [values], "(SELECT DISTINCT label, 1.0::DOUBLE AS beta FROM v0)"
+    for level in range(levels):
+        step = f"pow(1600.0::DOUBLE, 1.0::DOUBLE / {32 * 16**level})"
+        grid = f"least(greatest(beta * pow({step}, k - 16), 0.025::DOUBLE), 40.0::DOUBLE)"
+        parts.append(f"""g{level} AS (SELECT DISTINCT label, {grid} AS beta FROM {around}, (SELECT unnest(range(33)) AS k)),
+    q{level} AS (SELECT label, beta, AVG(list_sum(list_transform(p, lambda a, i: greatest(a, 1e-10::DOUBLE) *
+      ln(greatest(a, 1e-10::DOUBLE) / greatest(q[i], 1e-10::DOUBLE))))) AS kl
+      FROM (SELECT label, beta, p, {_softmax_sql('x', 'beta')} AS q FROM v0 JOIN g{level} USING (label)) GROUP BY ALL),
+    b{level} AS (SELECT label, arg_min(beta, ROW(kl, beta)) AS beta, MIN(kl) AS kl FROM q{level} GROUP BY label)""")
+        around = f"b{level}"
+    return "WITH " + ",\n    ".join(parts)
+
+
+@query("best_beta", f"{_narrowed_sql('0')} SELECT ROUND(beta, 2) AS beta, ROUND(kl, 6) AS mean_kl, 1e-9::DOUBLE AS error FROM b4")
 def best_beta(spark, sf):
-    beta, kl = trials.best_beta(*_trials(spark, sf), rounds=3)
-    return stats.single_row(spark, {"beta": beta, "mean_kl": kl})
+    return trials.certified_beta(*_trials(spark, sf)).select(F.round("beta", 2).alias("beta"), F.round("mean_kl", 6).alias("mean_kl"), "error")
 
 
-@query("best_beta_by_group")
+@query("best_beta_by_group", f"{_narrowed_sql('a.label')} SELECT label, ROUND(beta, 2) AS beta, ROUND(kl, 6) AS mean_kl, 1e-9::DOUBLE AS error FROM b4")
 def best_beta_by_group(spark, sf):
-    return trials.best_beta_by_group(*_trials(spark, sf), "label")
+    return trials.best_beta_by_group(*_trials(spark, sf), "label").select(
+        "label", F.round("beta", 2).alias("beta"), F.round("mean_kl", 6).alias("mean_kl"), "error"
+    )
 
 
 # ---- similarity ----------------------------------------------------------------------------------

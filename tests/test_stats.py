@@ -109,7 +109,51 @@ def test_best_beta_finds_planted_value(spark):
     beta, kl = trials.best_beta(frame(human), frame(logits))
     assert beta == pytest.approx(3.7, rel=1e-3) and kl < 1e-6
     groups = trials.best_beta_by_group(frame(human), frame(logits), "g").collect()
-    assert [r["beta"] for r in groups] == pytest.approx([3.7, 3.7], rel=2e-2)
+    assert [r["beta"] for r in groups] == pytest.approx([3.7, 3.7], rel=1e-3)
+    assert [r["error"] for r in groups] == [1e-9, 1e-9]
+
+
+def _mean_kl(p, x, beta):
+    z = beta * (x - x.max(axis=1, keepdims=True))
+    q = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    a, q = np.clip(p, 1e-10, 1), np.clip(q, 1e-10, 1)
+    return (a * np.log(a / q)).sum(axis=1).mean()
+
+
+@pytest.mark.parametrize("scale", [0.05, 1.0, 30.0])
+def test_certified_beta_against_a_fine_grid(spark, scale):
+    """Also where most probabilities are clipped (large logits), so that the mean is not convex."""
+    rng = np.random.default_rng(int(scale * 100))
+    logits = rng.normal(size=(40, 4)) * scale
+    human = rng.dirichlet([0.3] * 4, size=40)
+    human[::5] = np.eye(4)[rng.integers(0, 4, 8)]
+    def frame(m):
+        return spark.createDataFrame([(i, i % 3, r.tolist()) for i, r in enumerate(m)], "trial int, g int, values array<double>")
+    tolerance = 1e-5
+    rows = trials.certified_beta(frame(human), frame(logits), ("g",), tolerance).collect()
+    assert len(rows) == 3
+    grid = np.concatenate([np.linspace(0.025, 40, 20_000), np.geomspace(0.025, 40, 5_000)])
+    for r in rows:
+        p, x = human[r["g"] :: 3], logits[r["g"] :: 3]
+        assert r["mean_kl"] == pytest.approx(_mean_kl(p, x, r["beta"]), abs=1e-9)
+        assert r["error"] == tolerance
+        assert r["mean_kl"] - r["error"] <= min(_mean_kl(p, x, b) for b in grid)
+    few = trials.certified_beta(frame(human), frame(logits), ("g",), 1e-12, levels=2).collect()
+    exact = {r["g"]: r["mean_kl"] for r in rows}
+    assert all(r["mean_kl"] - r["error"] <= exact[r["g"]] for r in few)
+
+
+def test_certified_beta_defined_cases(spark):
+    schema = "trial int, g int, values array<double>"
+    nan = float("nan")
+    human = spark.createDataFrame([(1, 0, [0.7, 0.3]), (2, 1, [0.5, None]), (3, 2, [0.5, 0.5])], schema)
+    logits = spark.createDataFrame([(1, 0, [1.0, 1.0]), (2, 0, [2.0, nan]), (3, 0, [5.0, 5.0])], schema)
+    rows = {r["g"]: r for r in trials.certified_beta(human, logits, ("g",)).collect()}
+    assert set(rows) == {0, 2}  # a group with NaN gives no row
+    assert rows[0]["beta"] == rows[2]["beta"] == 0.025  # equal everywhere: the lowest
+    assert rows[2]["mean_kl"] == pytest.approx(0.0, abs=1e-12)
+    assert trials.certified_beta(human.limit(0), logits, ("g",)).count() == 0
+    assert math.isnan(trials.best_beta(human.limit(0), logits)[0])
 
 
 def test_nan_never_wins(spark):
