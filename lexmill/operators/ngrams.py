@@ -131,6 +131,11 @@ def word_stats(windows: DataFrame) -> DataFrame:
     return _with_share(windows.groupBy("next").agg(F.count(F.lit(1)).alias("count")), "next")
 
 
+def pair_counts(windows: DataFrame) -> DataFrame:
+    """Count of every (context, next), in one aggregation."""
+    return windows.groupBy("context", "next").agg(F.count(F.lit(1)).alias("count"))
+
+
 def next_word_stats(windows: DataFrame) -> DataFrame:
     """Count of every (context, next) and its share inside the context.
 
