@@ -139,12 +139,12 @@ def pair_counts(windows: DataFrame) -> DataFrame:
 def next_word_stats(windows: DataFrame) -> DataFrame:
     """Count of every (context, next) and its share inside the context.
 
-    The pairs are counted first, so the second aggregation and the join see distinct pairs only.
+    The windows are dealt by context once; pairs and totals are both counted where they lie. As a context NULL is no context, it is left out.
     """
-    pairs = windows.groupBy("context", "next").agg(F.count(F.lit(1)).alias("count"))
-    totals = pairs.groupBy("context").agg(F.sum("count").alias("context_count"))
+    dealt = windows.where("context is not null").select("context", "next").repartition("context")
+    total = F.sum("count").over(Window.partitionBy("context"))
     frequency = F.col("count") / F.col("context_count")
-    return pairs.join(totals, "context").select(
+    return pair_counts(dealt).withColumn("context_count", total).select(
         "context", "next", "count", "context_count", frequency.alias("frequency"),
         _per_million(frequency).alias("log_freq_per_million"),
     )

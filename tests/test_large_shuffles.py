@@ -22,3 +22,11 @@ def test_full_contexts_shuffle_binary_digests_once(spark):
     found = queries()["full_context_stats"](spark, "/root/testdata/sf0.001")
     assert "Join" not in plan(found) and "unhex" in plan(found)
     assert {len(r["context"]) for r in found.limit(50).collect()} == {32}
+
+
+def test_next_word_stats_shuffle_once(spark):
+    stats_ = ngrams.next_word_stats(windows(spark))
+    assert plan(stats_).count("Exchange hashpartitioning") == 1
+    assert "Join" not in plan(stats_)
+    rows = {(r["context"], r["next"]): (r["count"], r["context_count"]) for r in stats_.collect()}
+    assert rows["a b", "c."] == (2, 4) and rows["a b", "c"] == (1, 4) and rows["a b", "d!"] == (1, 4)
