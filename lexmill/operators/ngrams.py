@@ -151,20 +151,11 @@ def next_word_stats(windows: DataFrame) -> DataFrame:
 
 
 def corpus_summary(windows: DataFrame, max_context: int | None) -> DataFrame:
-    """Totals and numbers of distinct contexts and words, from pre-aggregated counts."""
-    pairs = windows.groupBy("context", "next").agg(F.count(F.lit(1)).alias("n"))
-    contexts = pairs.groupBy("context").agg(F.sum("n").alias("n")).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total_windows"),
-        F.count(F.lit(1)).alias("unique_contexts"),
-    )
-    words = pairs.groupBy("next").agg(F.sum("n").alias("n")).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total_words"), F.count(F.lit(1)).alias("unique_words")
-    )
-    return contexts.select(
-        "total_windows",
-        words.select("total_words").scalar().alias("total_words"),
-        "unique_contexts",
-        words.select("unique_words").scalar().alias("unique_words"),
+    """Totals and numbers of distinct contexts and words, all from one pass over the windows."""
+    return windows.agg(
+        F.count(F.lit(1)).alias("total_windows"), F.count(F.lit(1)).alias("total_words"),
+        # in a struct a NULL is a value like any other
+        F.count_distinct(F.struct("context")).alias("unique_contexts"), F.count_distinct(F.struct("next")).alias("unique_words"),
         F.lit(max_context).cast("int").alias("max_context_size"),
     )
 

@@ -30,3 +30,12 @@ def test_next_word_stats_shuffle_once(spark):
     assert "Join" not in plan(stats_)
     rows = {(r["context"], r["next"]): (r["count"], r["context_count"]) for r in stats_.collect()}
     assert rows["a b", "c."] == (2, 4) and rows["a b", "c"] == (1, 4) and rows["a b", "d!"] == (1, 4)
+
+
+def test_summary_makes_no_second_table_of_pairs(spark):
+    found = ngrams.corpus_summary(windows(spark), 2)
+    assert "Subquery" not in plan(found)
+    row, rows = found.first(), windows(spark).collect()
+    assert (row["total_windows"], row["total_words"]) == (len(rows), len(rows))
+    assert (row["unique_contexts"], row["unique_words"]) == (len({r["context"] for r in rows}), len({r["next"] for r in rows}))
+    assert tuple(ngrams.corpus_summary(windows(spark).where("false"), 2).first()) == (0, 0, 0, 0, 2)
