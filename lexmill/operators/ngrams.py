@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexmill.functions import text as tx
+from lexmill.session import cut_lineage
 
 # Marks that end a sentence, and what may close a quotation or bracket behind them.
 ENDS = ".!?。！？।؟"
 CLOSERS = r"\"'”’»)\]}」』）"
 
+# Most rows of chosen contexts that are sent to every executor.
+BROADCAST_ROWS = 200_000
+
 
 def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Sentences cut after a sentence mark (with closing quotes or brackets) and white space, as white-space separated tokens.
@@ -202,7 +206,11 @@ def random_contexts(
 
 def with_context_share(selected: DataFrame, windows: DataFrame) -> DataFrame:
     """Add the share of the word inside each selected context, counted over all windows."""
+    # Stored, so that the choice is made once and its size is known: a small one is sent to the windows, which then need not be shuffled.
+    selected = cut_lineage(selected)
     contexts = selected.select("context").distinct()
+    if selected.count() <= BROADCAST_ROWS:
+        contexts = F.broadcast(contexts)
     totals = (
         windows.join(contexts, "context", "left_semi")
         .groupBy("context").agg(F.count(F.lit(1)).alias("context_count"))

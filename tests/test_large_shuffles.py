@@ -39,3 +39,10 @@ def test_summary_makes_no_second_table_of_pairs(spark):
     assert (row["total_windows"], row["total_words"]) == (len(rows), len(rows))
     assert (row["unique_contexts"], row["unique_words"]) == (len({r["context"] for r in rows}), len({r["next"] for r in rows}))
     assert tuple(ngrams.corpus_summary(windows(spark).where("false"), 2).first()) == (0, 0, 0, 0, 2)
+
+
+def test_chosen_contexts_are_sent_to_the_windows(spark):
+    words = spark.createDataFrame([("c",), ("d!",)], "word string")
+    found = ngrams.with_context_share(ngrams.top_contexts(windows(spark), words, 3, 2), windows(spark))
+    assert "BroadcastHashJoin" in plan(found) and "LeftSemi" in plan(found).split("BroadcastHashJoin", 1)[1]
+    assert {(r["word"], r["context"], r["count"], r["frequency"]) for r in found.collect()} == {("c", "a b", 1, 0.25), ("d!", "a b", 1, 0.25)}
