@@ -28,7 +28,10 @@ def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     """
     if text not in docs.columns:
         raise ValueError(f"column '{text}' not found, there is: {docs.columns}")
-    parts = F.split(text, rf"(?<=[{ENDS}][{CLOSERS}]{{0,3}})[{tx.SPACE}]+|(?<=[。！？][{CLOSERS}]{{0,3}})(?![{CLOSERS}。！？{tx.SPACE}]|$)")
+    # One character is looked at first at every place, so the longer look behind runs at white space and behind marks only.
+    blank = rf"(?=[{tx.SPACE}])(?<=[{ENDS}][{CLOSERS}]{{0,3}})[{tx.SPACE}]+"
+    joined = rf"(?<=[。！？{CLOSERS}])(?<=[。！？][{CLOSERS}]{{0,3}})(?![{CLOSERS}。！？{tx.SPACE}]|$)"
+    parts = F.split(text, f"{blank}|{joined}")
     return (
         docs.select(key, F.posexplode_outer(parts).alias("sent_no", "sentence"))
         .where("sentence is not null")
@@ -44,22 +47,15 @@ def prefix_windows(
     The context is the sentence before the token, cut to the last ``max_context`` tokens, so a row
     never carries more than that. ``next_in`` (column ``word``) keeps only windows of those words.
     """
-    tokens = F.col("tokens")
-
-    def window(i: Column) -> Column:
-        size = F.least(i, F.lit(max_context))
-        return F.struct(
-            i.alias("i"),
-            F.get(tokens, i).alias("next"),
-            F.array_join(F.slice(tokens, i - size + 1, size), " ").alias("context"),
-            size.alias("context_size"),
-        )
-
-    positions = F.when(F.size(tokens) > 1, F.sequence(F.lit(1), F.size(tokens) - 1))
+    # Built behind the generator, where it is compiled; a lambda over the positions is interpreted per token.
+    size = F.least("i", F.lit(max_context))
     exploded = (
-        sents.select(key, "sent_no", F.explode_outer(F.transform(positions, window)).alias("w"))
-        .select(key, "sent_no", "w.*")
-        .where("next is not null")
+        sents.select(key, "sent_no", "tokens", F.posexplode_outer("tokens").alias("i", "next"))
+        .where("i > 0 and next is not null")
+        .select(
+            key, "sent_no", "i", "next",
+            F.array_join(F.slice("tokens", F.col("i") - size + 1, size), " ").alias("context"), size.alias("context_size"),
+        )
     )
     if next_in is None:
         return exploded

@@ -13,6 +13,20 @@ def windows(spark):
     return ngrams.prefix_windows(ngrams.sentences(docs), 2)
 
 
+def test_windows_are_not_built_in_a_lambda(spark):
+    found = windows(spark)
+    assert "lambdafunction" not in plan(found)
+    rows = {(r["doc_id"], r["sent_no"], r["i"]): (r["next"], r["context"], r["context_size"]) for r in found.collect()}
+    assert rows[2, 0, 3] == ("a", "b c", 2)
+    assert rows[2, 1, 1] == ("r.”", "“q", 1)
+    assert (1, 2, 1) not in rows
+
+
+def test_sentences_are_cut_where_they_were(spark):
+    docs = spark.createDataFrame([(1, "好。好 b。”c d.  e (f!) g ? h")], "doc_id long, text string")
+    assert [r["tokens"] for r in ngrams.sentences(docs).orderBy("sent_no").collect()] == [["好。"], ["好", "b。”"], ["c", "d."], ["e", "(f!)"], ["g", "?"], ["h"]]
+
+
 def test_pair_counts_shuffle_once(spark):
     counts = ngrams.pair_counts(windows(spark))
     assert plan(counts).count("Exchange hashpartitioning") == 1 and "Join" not in plan(counts)
