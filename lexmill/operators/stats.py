@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from itertools import combinations
 from operator import and_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -291,15 +293,96 @@ def reading_scores(df: DataFrame, eye: tuple[str, ...], paced: str, base: tuple[
     return sum(gains[:-1]) / len(eye), gains[-1]
 
 
-def pair_similarities(pairs: DataFrame, vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Cosine similarity for the id pairs (i, j) of a stored table.
+# Most vectors of a block, and least ones of it when small inputs are spread over the tasks.
+BLOCK_ROWS, LEAST_ROWS = 65_536, 128
+
+
+class _TileVectors:
+    """Unit vectors of a tile, sorted by id; ids may repeat. A vector that is NULL or holds a NULL has length -1."""
+
+    def __init__(self, batches: list[pa.RecordBatch]):
+        rows = pa.Table.from_batches(batches)
+        lists, ids = rows["u"].combine_chunks(), rows["_i"].to_numpy()
+        values = lists.flatten()
+        size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        row = np.repeat(np.arange(len(size)), size)
+        units = np.zeros((len(size), size.max(initial=0)))
+        units[row, at] = values.to_numpy(zero_copy_only=False)
+        missing = lists.is_null().to_numpy(zero_copy_only=False).copy()
+        missing[row[values.is_null().to_numpy(zero_copy_only=False)]] = True
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.units, self.sizes = ids[order], units[order], np.where(missing, -1, size)[order]
+
+    def places(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For every id each of its vectors: (position of the id, row of the vector)."""
+        first, end = np.searchsorted(self.ids, ids, "left"), np.searchsorted(self.ids, ids, "right")
+        n = end - first
+        position = np.repeat(np.arange(len(ids)), n)
+        return position, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[position]
+
+    def similarities(self, batch: pa.RecordBatch) -> tuple[np.ndarray, pa.Array]:
+        """(positions of the batch, similarity) of the pairs whose ids both have vectors."""
+        at, a = self.places(batch["_i"].to_numpy())
+        again, b = self.places(batch["_j"].to_numpy()[at])
+        a, at = a[again], at[again]
+        unknown = (self.sizes[a] != self.sizes[b]) | (self.sizes[a] < 0)
+        return at, pa.array(np.einsum("nd,nd->n", self.units[a], self.units[b]), mask=unknown)
+
+
+def _tile_similarities(names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A partition is sorted by tile, the vectors of a tile come before its pairs.
+        tile, waiting, known = None, [], None
+        for batch in batches:
+            tiles, is_pair = batch["_tile"].to_numpy(), batch["_pair"].to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((np.diff(tiles) != 0) | (np.diff(is_pair.astype(int)) != 0)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(tiles)]):
+                part = batch.slice(lo, hi - lo)
+                if tiles[lo] != tile:
+                    tile, waiting, known = tiles[lo], [], None
+                if not is_pair[lo]:
+                    waiting.append(part)
+                elif waiting or known:
+                    if known is None:
+                        known, waiting = _TileVectors(waiting), []
+                    at, sim = known.similarities(part)
+                    kept = part.select(names).take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([*kept.columns, sim], names=[*names, "sim"])
+
+    return run
+
+
+def pair_similarities(
+    pairs: DataFrame, vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Cosine similarity for the id pairs (i, j) of a stored table; ids are integers.
 
-    Only wanted pairs are computed; each side is one join on the vector id.
+    Only wanted pairs are computed. Ids are dealt into blocks, and a pair meets the vectors of its two blocks in one task, so a pair is
+    shuffled once and without a vector; a vector is shuffled once for every block. A task holds the vectors of two blocks, pairs pass by.
     """
-    unit = vectors.select(vec_id, nm.unit(nm.as_doubles(F.col(vector))).alias("u"))
-    left = unit.select(F.col(vec_id).alias("i"), F.col("u").alias("_a"))
-    right = unit.select(F.col(vec_id).alias("j"), F.col("u").alias("_b"))
-    return pairs.join(left, "i").join(right, "j").withColumn("sim", nm.dot(F.col("_a"), F.col("_b"))).drop("_a", "_b")
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = vectors.count()
+    blocks = max(1, -(-rows // block_rows), min(-(-rows // LEAST_ROWS), math.isqrt(2 * tasks)))
+
+    def block(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+
+    def tile(a: Column, b: Column) -> Column:
+        return (F.least(a, b) * blocks + F.greatest(a, b)).cast("bigint").alias("_tile")
+
+    key, names = F.col(vec_id).cast("bigint"), ["j", "i", *[c for c in pairs.columns if c not in ("i", "j")]]
+    units = vectors.where(key.isNotNull()).select(key.alias("_i"), nm.unit(nm.as_doubles(F.col(vector))).alias("u"), block(key).alias("_own"))
+    placed = units.select("_i", "u", "_own", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_other")).select(
+        tile(F.col("_own"), F.col("_other")), F.lit(False).alias("_pair"), "_i", "u"
+    )
+    i, j = F.col("i").cast("bigint"), F.col("j").cast("bigint")
+    wanted = pairs.where("i is not null and j is not null").select(
+        tile(block(i), block(j)), F.lit(True).alias("_pair"), i.alias("_i"), j.alias("_j"), *names
+    )
+    schema = T.StructType([*[T.StructField(c, pairs.schema[c].dataType) for c in names], T.StructField("sim", T.DoubleType())])
+    both = placed.unionByName(wanted, allowMissingColumns=True)
+    return both.repartition(tasks, "_tile").sortWithinPartitions("_tile", "_pair").mapInArrow(_tile_similarities(names), schema)
 
 
 def rsa(pairs: DataFrame, a: str, b: str, method: str = "spearman") -> DataFrame:

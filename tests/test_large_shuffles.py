@@ -1,7 +1,9 @@
 """Plans that move no more than they must: what is shuffled, and the same results as plain code."""
 
+import math
+
 from __spark_entry__ import queries
-from lexmill.operators import ngrams
+from lexmill.operators import ngrams, stats
 
 
 def plan(df) -> str:
@@ -60,3 +62,23 @@ def test_chosen_contexts_are_sent_to_the_windows(spark):
     found = ngrams.with_context_share(ngrams.top_contexts(windows(spark), words, 3, 2), windows(spark))
     assert "BroadcastHashJoin" in plan(found) and "LeftSemi" in plan(found).split("BroadcastHashJoin", 1)[1]
     assert {(r["word"], r["context"], r["count"], r["frequency"]) for r in found.collect()} == {("c", "a b", 1, 0.25), ("d!", "a b", 1, 0.25)}
+
+
+def test_pairs_are_shuffled_without_vectors(spark):
+    vectors = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (1, [0.0, 2.0]), (2, None), (3, [None, 1.0]), (4, [1.0, 2.0, 3.0]), (5, []), (None, [1.0, 1.0])]
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    pairs = [(1, 0, "a"), (1, 1, "b"), (2, 0, "c"), (3, 0, "d"), (4, 0, "e"), (5, 5, "f"), (9, 0, "g"), (None, 0, "h"), (0, None, "i"), (1, 0, "a")]
+    wanted = spark.createDataFrame(pairs, "i long, j long, rating string")
+    for size in (1, 65_536):
+        found = stats.pair_similarities(wanted, table, block_rows=size)
+        assert "Join" not in plan(found)
+        assert found.columns == ["j", "i", "rating", "sim"]
+        rows = sorted((r["rating"], -9.0 if r["sim"] is None else round(r["sim"], 9)) for r in found.collect())
+        half = round(math.sqrt(0.5), 9)
+        assert rows == [("a", 0.0), ("a", 0.0), ("a", half), ("a", half), ("b", half), ("b", half), ("b", 1.0), ("b", 1.0),
+                        ("c", -9.0), ("d", -9.0), ("e", -9.0), ("f", 0.0)]
+
+
+def test_empty_tables_give_no_pair(spark):
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert stats.pair_similarities(spark.createDataFrame([(1, 0)], "i long, j long"), vectors).count() == 0
