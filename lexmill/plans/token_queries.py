@@ -8,6 +8,7 @@ from lexmill.functions import text as tx
 from lexmill.operators import tokens as tk
 from lexmill.plans import sqlparts as sq
 from lexmill.plans.registry import query, table
+from lexmill.session import python_partitions
 
 VOCAB, LENGTH, OFFSET, SEED = tk.VOCAB_SIZE, 128, 7, 42
 MASK, BOS, EOS, CLS = 1, 2, 3, 4
@@ -144,7 +145,9 @@ for _mode, _at in (("mlm", "p"), ("mntp", "p - 1"), ("enc_dec_mask", "1")):
 
     @query(f"mask_each_position_{_mode}", _masked_sql(_at))
     def mask_each_position(spark, sf, mode=_mode):
-        rows = tk.mask_each_position(_turns(spark, sf), mode, MASK)
+        # a turn grows with the square of its length, so turns are dealt to more tasks than the scan has
+        turns = python_partitions(_turns(spark, sf).select("conv_id", "turn", "tokens", "phrase_mask"), "conv_id", "turn")
+        rows = tk.mask_each_position(turns, mode, MASK)
         return _joined(rows, "conv_id", "turn", "position", "predict_at", "target", "masked")
 
 
