@@ -394,6 +394,8 @@ def random_offset_chunks(docs: DataFrame, length: int, seed: int, epoch: int = 0
     There is one chunk less than whole chunks in the stream. Each piece of the stream is sent to the
     two chunks it can belong to and cut to their ranges there.
     """
+    # Stored, as sizes, pieces and the total would each compute the tokens again.
+    docs = cut_lineage(docs.select(ord_col, tokens))
     pieces = _pieces(docs, length, 0, ord_col, tokens)
     targets = F.array(F.col("chunk_id"), F.col("chunk_id") - 1)
     offset = F.pmod(
