@@ -313,11 +313,12 @@ class _TileVectors:
         missing[row[values.is_null().to_numpy(zero_copy_only=False)]] = True
         order = np.argsort(ids, kind="stable")
         self.ids, self.units, self.sizes = ids[order], units[order], np.where(missing, -1, size)[order]
+        self.repeats = np.searchsorted(self.ids, self.ids, "right") - np.arange(len(ids))
 
     def places(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For every id each of its vectors: (position of the id, row of the vector)."""
-        first, end = np.searchsorted(self.ids, ids, "left"), np.searchsorted(self.ids, ids, "right")
-        n = end - first
+        first = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        n = np.where(self.ids[first] == ids, self.repeats[first], 0)
         position = np.repeat(np.arange(len(ids)), n)
         return position, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[position]
 
@@ -363,7 +364,7 @@ def pair_similarities(
     """
     tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = vectors.count()
-    blocks = max(1, -(-rows // block_rows), min(-(-rows // LEAST_ROWS), math.isqrt(2 * tasks)))
+    blocks = max(1, -(-rows // block_rows), min(-(-rows // LEAST_ROWS), math.isqrt(8 * tasks)))
 
     def block(c: Column) -> Column:
         return F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
