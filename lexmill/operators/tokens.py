@@ -7,13 +7,16 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexmill.functions import text as tx
 from lexmill.functions.numeric import let
+from lexmill.operators import flat_words as fw
+from lexmill.operators.flat_words import merged_ids  # noqa: F401  (also by its old place)
 from lexmill.operators.ordering import id_groups, running_total
 from lexmill.session import cut_lineage
 
@@ -91,88 +94,100 @@ def train_bpe(
     left out. A pair that arises across a cut is no more frequent than the pair that was cut, so the result equals one merge at a
     time over the whole table. A round merges its best pair at least.
     """
-    hexed = cut_lineage(counts).where("pretoken <> ''").select(
-        F.regexp_extract_all(F.hex(F.encode("pretoken", "UTF-8")), F.lit("(..)"), F.lit(1)).alias("bytes"),
-        F.col("count").alias("n"),
-    )
-    present = {int(r[0], 16) for r in hexed.select(F.explode("bytes")).distinct().collect()}
+    stored = cut_lineage(counts).where("pretoken <> ''").select(F.encode("pretoken", "UTF-8").alias("bytes"), F.coalesce("count", F.lit(0)).cast("bigint").alias("n"))
+    present = {r[0] for r in stored.select("bytes").mapInArrow(_bytes_in_use, "byte int").distinct().collect()}
     vocabulary = Vocabulary(specials, [b for b in byte_order() if b in present])
-    ids = {f"{b:02X}": i for b, i in vocabulary.byte_ids().items()}
-    lookup = F.from_json(F.lit(json.dumps(ids)), "map<string,int>")
     # One task per core: the table is small next to the corpus but read once per round.
     words = cut_lineage(
-        hexed.repartition(counts.sparkSession.sparkContext.defaultParallelism)
-        .select(F.transform("bytes", lambda x: F.element_at(lookup, x)).alias("ids"), "n").where(F.size("ids") > 1)
+        stored.repartition(counts.sparkSession.sparkContext.defaultParallelism)
+        .mapInArrow(_each_batch(_byte_symbols(vocabulary)), "ids array<int>, n bigint")
     )
-    taken = candidates
+    total, taken = words.count(), candidates
     while vocabulary.size < vocab_size:
         best = _best_pairs(words, taken + 1, min_frequency)
         if not best:
             break
         while True:
-            leading, after = best[:taken], best[taken] if len(best) > taken else None
+            leading, after = [(a, b) for a, b, _ in best[:taken]], best[taken] if len(best) > taken else None
             # the runs of one pair differ in their length only
-            segments = _segments(words, {(a, b) for a, b, _ in leading}, most_segments + 1 if taken > 1 else None)
-            if len(segments) <= most_segments or taken == 1:
-                break
+            most = most_segments + 1 if taken > 1 else None
+            # if a few of the words have too many segments, so do all
+            few = taken > 1 and total > 8 * most_segments and _segments(words.sample(4 * most_segments / total, seed=1), leading, most)
+            if not few or len(few) <= most_segments:
+                segments = _segments(words, leading, most)
+                if len(segments) <= most_segments or taken == 1:
+                    break
             taken = max(1, min(taken, len(best)) // 2)
         first = vocabulary.size
         merges = learn_merges(segments, first, vocab_size - first, min_frequency, after)
         vocabulary.merges.extend(merges)
         if vocabulary.size < vocab_size:
-            ranks = {pair: i for i, pair in enumerate(merges)}
-            merged = _each_word(lambda ids, ranks=ranks, first=first: merge_pairs(ids, ranks, first), T.ArrayType(T.IntegerType()))
-            # A word of one symbol takes part in no further merge.
-            words = cut_lineage(words.select(merged("ids").alias("ids"), "n").where(F.size("ids") > 1))
+            ranks = fw.PairTable(merges)
+            words = cut_lineage(
+                words.mapInArrow(_each_batch(lambda c, ranks=ranks, first=first: fw.merged(*fw.flat(c), ranks, first)), "ids array<int>, n bigint")
+            )
         if len(segments) < most_segments // 4:
             taken = min(candidates, taken * 4)
     return vocabulary
 
 
-def _each_word(fn, kind: T.DataType):
-    @F.pandas_udf(kind)
-    def run(words: pd.Series) -> pd.Series:
-        return words.map(lambda ids: fn([int(x) for x in ids]))
+def _bytes_in_use(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(fw.flat_bytes(batch.column(0))[0]).astype(np.int32))], ["byte"])
+
+
+def _byte_symbols(vocabulary: Vocabulary):
+    """Function: Arrow binaries -> symbols and sizes; bytes that the vocabulary lacks are left out."""
+    table = np.full(256, -1, np.int64)
+    for byte, symbol in vocabulary.byte_ids().items():
+        table[byte] = symbol
+
+    def run(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        values, sizes = fw.flat_bytes(words)
+        ids, known = table[values], table[values] >= 0
+        if known.all():
+            return ids, sizes
+        total = np.append(0, np.cumsum(known))
+        ends = np.cumsum(sizes)
+        return ids[known], total[ends] - total[ends - sizes]
+
+    return run
+
+
+def _each_batch(fn):
+    """Words (symbols, n) of a batch after ``fn``; a word of one symbol takes part in no further merge and is left out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sizes = fn(batch.column(0))
+            open_words = sizes > 1
+            ids, n = ids[np.repeat(open_words, sizes)], batch.column(1).filter(pa.array(open_words))
+            yield pa.RecordBatch.from_arrays([fw.lists_of(ids, sizes[open_words]), n], ["ids", "n"])
 
     return run
 
 
 def _best_pairs(words: DataFrame, k: int, min_frequency: int) -> list[tuple[int, int, int]]:
-    ids = F.col("ids")
-    pairs = (
-        words.select(
-            F.explode(
-                F.zip_with(
-                    F.expr("slice(ids, 1, size(ids) - 1)"), F.expr("slice(ids, 2, size(ids))"),
-                    lambda a, b: F.struct(a.alias("a"), b.alias("b")),
-                )
-            ).alias("p"),
-            "n",
-        )
-        .groupBy("p.a", "p.b").agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= min_frequency)
-    )
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n = fw.pair_counts(*fw.flat(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(n)], ["a", "b", "n"])
+
+    pairs = words.mapInArrow(count, "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= min_frequency)
     return [tuple(r) for r in pairs.orderBy(F.desc("n"), "a", "b").limit(k).collect()]
 
 
-def cut_apart(ids: list[int], inside: set[tuple[int, int]]) -> list[list[int]]:
-    """Longest runs of at least two symbols whose neighbouring pairs are all in ``inside``."""
-    out, run = [], ids[:1]
-    for pair in zip(ids, ids[1:]):
-        if pair in inside:
-            run.append(pair[1])
-            continue
-        if len(run) > 1:
-            out.append(run)
-        run = [pair[1]]
-    return [*out, run] if len(run) > 1 else out
+def _segments(words: DataFrame, inside: list[tuple[int, int]], most: int | None) -> list[tuple[list[int], int]]:
+    """Distinct segments with their counts, at most ``most`` if given. Words are cut wherever a pair is not ``inside``."""
+    table = fw.PairTable(inside)
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sizes, word = fw.cut_apart(*fw.flat(batch.column(0)), table)
+            yield pa.RecordBatch.from_arrays([fw.lists_of(ids, sizes), batch.column(1).take(pa.array(word))], ["segment", "n"])
 
-def _segments(words: DataFrame, inside: set[tuple[int, int]], most: int | None) -> list[tuple[list[int], int]]:
-    """Distinct segments with their counts, at most ``most`` if given."""
-    cut = _each_word(lambda ids: cut_apart(ids, inside), T.ArrayType(T.ArrayType(T.IntegerType())))
-    found = words.select(F.explode(cut("ids")).alias("segment"), "n").groupBy("segment").agg(F.sum("n").alias("n"))
-    return [(list(r[0]), r[1]) for r in (found.limit(most) if most else found).collect()]
+    found = words.mapInArrow(cut, "segment array<int>, n bigint").groupBy("segment").agg(F.sum("n").alias("n"))
+    rows = (found.limit(most) if most else found).toArrow()
+    return list(zip(rows["segment"].to_pylist(), rows["n"].to_pylist()))
 
 
 def replaced(ids: list[int], a: int, b: int, new: int) -> list[int]:
@@ -188,17 +203,6 @@ def replaced(ids: list[int], a: int, b: int, new: int) -> list[int]:
     return out
 
 
-def merge_pairs(ids: list[int], ranks: dict[tuple[int, int], int], first: int) -> list[int]:
-    """Merges applied in the order of their ranks; the merge of rank r makes the id ``first`` + r."""
-    none = len(ranks)
-    while len(ids) > 1:
-        rank, a, b = min((ranks.get(p, none), *p) for p in zip(ids, ids[1:]))
-        if rank == none:
-            break
-        ids = replaced(ids, a, b, first + rank)
-    return ids
-
-
 def learn_merges(
     segments: list[tuple[list[int], int]], first: int, room: int, min_frequency: int, after: tuple[int, int, int] | None
 ) -> list[tuple[int, int]]:
@@ -260,62 +264,51 @@ def token_frequencies(encoded: DataFrame, tokens: str = "tokens") -> DataFrame:
     )
 
 
-def merged_ids(ids: list[int], ranks: dict[tuple[int, int], int], base: int) -> list[int]:
-    """``ids`` after all merges: always the pair of the lowest rank, the leftmost first, becomes the id base + rank.
+def pretoken_frequencies(counts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(id, freq) in all texts from their (pretoken, count) table: a pre-token is encoded once, however often it occurs."""
+    encode = _symbols_of(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sizes = encode(batch.column(0))
+            found, place = np.unique(ids, return_inverse=True)
+            freq = np.zeros(len(found), np.int64)
+            np.add.at(freq, place, np.repeat(batch.column(1).to_numpy(zero_copy_only=False), sizes))
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(freq)], ["id", "freq"])
+
+    known = counts.where("pretoken is not null").select(F.encode("pretoken", "UTF-8").alias("bytes"), F.coalesce("count", F.lit(0)).cast("bigint").alias("n"))
+    return known.mapInArrow(run, "id int, freq bigint").groupBy("id").agg(F.sum("freq").alias("freq"))
 
-    The pairs wait in a heap and the ids in a linked list, so n ids take n log n steps. An entry whose pair has changed since is passed over;
-    a merge makes only pairs of higher ranks, as they hold the id it has made.
-    """
-    n = len(ids)
-    left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-    heap = [(ranks[pair], i) for i, pair in enumerate(zip(ids, ids[1:])) if pair in ranks]
-    heapq.heapify(heap)
-    gone = -1
-    while heap:
-        rank, i = heapq.heappop(heap)
-        k = right[i]
-        if k >= n or ranks.get((ids[i], ids[k])) != rank:
-            continue
-        ids[i], ids[k], after, before = base + rank, gone, right[k], left[i]
-        right[i] = after
-        if after < n:
-            left[after] = i
-        for at, to in ((before, i), (i, after)):
-            if at >= 0 and to < n and (ids[at], ids[to]) in ranks:
-                heapq.heappush(heap, (ranks[ids[at], ids[to]], at))
-    return [x for x in ids if x != gone]
 
+def _symbols_of(vocabulary: Vocabulary):
+    """Function: Arrow binaries -> ids after all merges, and sizes."""
+    base, ranks, symbols = len(vocabulary.specials) + len(vocabulary.alphabet), fw.PairTable(vocabulary.merges), _byte_symbols(vocabulary)
+    return lambda words: fw.merged(*symbols(words), ranks, base)
 
-def encoder(vocabulary: Vocabulary, memo_size: int = 200_000):
+
+def encoder(vocabulary: Vocabulary, most_pieces: int = 1_000_000):
     """Column function array<string> of pre-tokens -> array<int> of ids.
 
-    A narrow step: documents are not shuffled. Each Python worker keeps a bounded memo, as most
-    pre-tokens are frequent ones.
+    A narrow step: documents are not shuffled. Of about ``most_pieces`` pre-tokens at a time (one document at least) each distinct one is
+    encoded once, as most are frequent ones.
     """
-    byte_ids = vocabulary.byte_ids()
-    base = len(vocabulary.specials) + len(vocabulary.alphabet)
-    ranks = {pair: i for i, pair in enumerate(vocabulary.merges)}
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memo: dict[str, list[int]] = {}
-
-        def word_ids(word: str) -> list[int]:
-            return merged_ids([byte_ids[b] for b in word.encode() if b in byte_ids], ranks, base)
-
-        def encode_all(pieces) -> list[int]:
-            out: list[int] = []
-            for piece in pieces:
-                ids = memo.get(piece)
-                if ids is None:
-                    if len(memo) >= memo_size:
-                        memo.clear()
-                    ids = memo[piece] = word_ids(piece)
-                out.extend(ids)
-            return out
-
-        for batch in batches:
-            yield batch.map(encode_all, na_action="ignore")
+    encode_words = _symbols_of(vocabulary)
+
+    def some(lists: pa.Array) -> pa.Array:
+        pieces = lists.flatten().dictionary_encode()
+        ids, sizes = encode_words(pieces.dictionary.cast(pa.binary()))
+        ends = np.append(0, np.cumsum(sizes[pieces.indices.to_numpy()]))
+        offsets = np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+        tokens = fw.lists_of(ids, sizes).take(pieces.indices).flatten()
+        return pa.ListArray.from_arrays(pa.array(ends[offsets].astype(np.int32)), tokens, mask=lists.is_null())
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            total = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            cuts = np.flatnonzero(np.append(True, np.diff(total // most_pieces) > 0)) if len(total) else []
+            for start, end in zip(cuts, [*cuts[1:], len(total)]):
+                yield some(lists.slice(start, end - start))
 
     return encode
 

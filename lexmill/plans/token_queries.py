@@ -8,7 +8,7 @@ from lexmill.functions import text as tx
 from lexmill.operators import tokens as tk
 from lexmill.plans import sqlparts as sq
 from lexmill.plans.registry import query, table
-from lexmill.session import python_partitions
+from lexmill.session import cut_lineage, python_partitions
 
 VOCAB, LENGTH, OFFSET, SEED = tk.VOCAB_SIZE, 128, 7, 42
 MASK, BOS, EOS, CLS = 1, 2, 3, 4
@@ -36,8 +36,9 @@ def _vocabulary(spark, sf):
 @query("bpe_vocabulary")
 def bpe_vocabulary(spark, sf):
     """Vocabulary learned from all documents with the number of uses of every token."""
-    vocabulary = _vocabulary(spark, sf)
-    used = tk.token_frequencies(tk.encode_docs(_texts(spark, sf), vocabulary))
+    counts = cut_lineage(tk.pretoken_counts(_texts(spark, sf)))
+    vocabulary = tk.train_bpe(counts, vocab_size=VOCAB)
+    used = tk.pretoken_frequencies(counts, vocabulary)
     return tk.vocabulary_table(vocabulary, spark).join(used, "id", "left").na.fill(0, ["freq"])
 
 
