@@ -12,7 +12,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,39 +35,79 @@ def _units(df: DataFrame, on: str, vector: str, name: str) -> DataFrame:
     return df.where((square > 0) & (square < float("inf"))).select(on, nm.unit(v).alias(name))
 
 
-def _values(rows: pd.DataFrame, scale: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _vectors(parts: list[pa.RecordBatch], name: str) -> np.ndarray:
+    return np.concatenate([p.column(name).flatten().to_numpy().reshape(len(p), -1) for p in parts])
+
+
+def _each_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Rows of one tile after the other, from rows sorted by tile."""
+    parts, current = [], None
+    for batch in batches:
+        tile = np.stack([batch.column(c).to_numpy() for c in ("lo", "hi")], axis=1)
+        starts = np.flatnonzero(np.append(True, (tile[1:] != tile[:-1]).any(axis=1))) if len(tile) else []
+        for start, end in zip(starts, [*starts[1:], len(tile)]):
+            if parts and current != tuple(tile[start]):
+                yield parts
+                parts = []
+            current = tuple(tile[start])
+            parts.append(batch.slice(start, end - start))
+    if parts:
+        yield parts
+
+
+def _values(parts: list[pa.RecordBatch], scale: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions of both similarities in the list of values, for the pairs of a tile, a strip at a time."""
-    u, v, first = np.stack(rows["u"].to_numpy()), np.stack(rows["v"].to_numpy()), rows["first"].to_numpy(bool)
-    diagonal = rows["lo"].iloc[0] == rows["hi"].iloc[0]
+    u, v = _vectors(parts, "u"), _vectors(parts, "v")
+    first = np.concatenate([p.column("first").to_numpy(zero_copy_only=False) for p in parts])
+    diagonal = parts[0].column("lo")[0] == parts[0].column("hi")[0]
     left = np.arange(len(first)) if diagonal else np.flatnonzero(first)
     right = left if diagonal else np.flatnonzero(~first)
+    sides = [(m[left], m[right]) for m in (u, v)]
     for i in range(0, len(left), STRIP):
-        mine = left[i : i + STRIP]
-        others = right[i:] if diagonal else right
-        pick = np.triu(np.ones((len(mine), len(others)), bool), 1) if diagonal else ...
-        yield tuple(
-            np.clip(np.rint((m[mine] @ m[others].T)[pick].ravel() * scale), -scale, scale).astype(np.int64) + scale for m in (u, v)
-        )
+        strip = []
+        for mine, others in sides:
+            x = mine[i : i + STRIP] @ (others[i:] if diagonal else others).T
+            x = x[np.triu(np.ones(x.shape, bool), 1)] if diagonal else x.ravel()
+            # in place, as fresh arrays of this size cost more than the arithmetic
+            x *= scale
+            np.clip(np.rint(x, out=x), -scale, scale, out=x)
+            x += scale
+            strip.append(x.astype(np.int64))
+        yield tuple(strip)
 
 
 def _counts(scale: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    """Counts of the values of all tiles of a task, so what is shuffled does not grow with the tiles."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, -(-(2 * scale + 1) // CHUNK) * CHUNK), np.int64)
-        for strip in _values(rows, scale):
-            for side in (0, 1):
-                values, n = np.unique(strip[side], return_counts=True)
-                counts[side, values] += n
+        for parts in _each_tile(batches):
+            for strip in _values(parts, scale):
+                for side in (0, 1):
+                    if len(strip[side]) >= scale // 4:
+                        n = np.bincount(strip[side])
+                        counts[side, : len(n)] += n
+                    else:
+                        np.add.at(counts[side], strip[side], 1)
         pieces = counts.reshape(2, -1, CHUNK)
-        side, chunk = np.nonzero(pieces.any(axis=2))
-        return pd.DataFrame({"side": side, "chunk": chunk, "n": list(pieces[side, chunk])})
+        for side, chunk in zip(*np.nonzero(pieces.any(axis=2))):
+            n = pa.ListArray.from_arrays([0, CHUNK], pa.array(pieces[side, chunk]))
+            yield pa.RecordBatch.from_arrays([pa.array([side], pa.int32()), pa.array([chunk], pa.int32()), n], ["side", "chunk", "n"])
 
     return run
 
 
+def _total(rows: pa.Table) -> pa.Table:
+    n = rows["n"].combine_chunks().flatten().to_numpy().reshape(-1, CHUNK).sum(axis=0)
+    total = pa.ListArray.from_arrays([0, CHUNK], pa.array(n))
+    return pa.table([rows["side"][:1].combine_chunks(), rows["chunk"][:1].combine_chunks(), total], ["side", "chunk", "n"])
+
+
 def _products(ranks, scale: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = ranks.value
-        return pd.DataFrame({"xy": [math.fsum(float(a[s] @ b[t]) for s, t in _values(rows, scale))]})
+        for parts in _each_tile(batches):
+            xy = math.fsum(float(a[s] @ b[t]) for s, t in _values(parts, scale))
+            yield pa.RecordBatch.from_arrays([pa.array([xy])], ["xy"])
 
     return run
 
@@ -83,7 +123,7 @@ def _tiles(joined: DataFrame, on: str, blocks: int) -> DataFrame:
     own: Column = F.pmod(F.xxhash64(on), F.lit(blocks)).cast("int")
     each = joined.select("u", "v", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
     lo, hi = F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")
-    return python_partitions(each.select(lo, hi, (F.col("own") <= F.col("other")).alias("first"), "u", "v"), "lo", "hi").groupBy("lo", "hi")
+    return python_partitions(each.select(lo, hi, (F.col("own") <= F.col("other")).alias("first"), "u", "v"), "lo", "hi").sortWithinPartitions("lo", "hi")
 
 
 def rsa_spearman_vectors(
@@ -108,19 +148,17 @@ def rsa_spearman_vectors(
     cores = spark.sparkContext.defaultParallelism
     blocks = max(-(-rows // block_rows), min(-(-rows // LEAST_ROWS), math.isqrt(2 * cores) + 1))
     tiles = _tiles(joined, on, blocks)
-    counted = tiles.applyInPandas(_counts(scale), "side int, chunk int, n array<bigint>")
-    # at most 2 * (2 * 10**digits + 1) rows, however many pairs there are
-    found = (
-        counted.select("side", "chunk", F.posexplode("n").alias("at", "n")).where("n > 0")
-        .groupBy("side", (F.col("chunk") * CHUNK + F.col("at")).alias("value")).agg(F.sum("n").alias("n")).toPandas()
-    )
-    n = np.zeros((2, 2 * scale + 1), np.int64)
-    n[found["side"], found["value"]] = found["n"]
+    counted = tiles.mapInArrow(_counts(scale), "side int, chunk int, n array<bigint>")
+    # at most 2 * (2 * 10**digits + 1) counts, however many pairs there are
+    found = python_partitions(counted, "side", "chunk").groupBy("side", "chunk").applyInArrow(_total, counted.schema).toArrow()
+    n = np.zeros((2, -(-(2 * scale + 1) // CHUNK), CHUNK), np.int64)
+    n[found["side"].to_numpy(), found["chunk"].to_numpy()] = found["n"].combine_chunks().flatten().to_numpy().reshape(-1, CHUNK)
+    n = n.reshape(2, -1)[:, : 2 * scale + 1]
     (ra, xx, ea), (rb, yy, eb) = _centred_ranks(n[0], pairs), _centred_ranks(n[1], pairs)
     if xx == 0 or yy == 0:
         return spark.createDataFrame([(nan, pairs, nan)], schema)
     ranks = spark.sparkContext.broadcast((ra, rb))
-    xy = tiles.applyInPandas(_products(ranks, scale), "xy double").agg(F.sum("xy")).first()[0]
+    xy = tiles.mapInArrow(_products(ranks, scale), "xy double").agg(F.sum("xy")).first()[0]
     size, ea, eb = math.sqrt(xx * yy), math.sqrt(ea), math.sqrt(eb)
     off = (math.sqrt(xx) * eb + ea * math.sqrt(yy) + ea * eb) / size
     rho = xy / size
