@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,10 +45,17 @@ def first_number(c: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(c, r"_(\d+)", 1), F.lit("")).cast("int"), F.lit(0))
 
 
+# Rows whose texts are Python strings at the same time; what a worker holds does not grow with the rows of an Arrow batch.
+NORMALIZED_ROWS = 256
+
+
 def _normalizer(form: str):
-    @F.pandas_udf(T.StringType())
-    def normalize(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: unicodedata.normalize(form, t), na_action="ignore")
+    @F.arrow_udf(T.StringType())
+    def normalize(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for start in range(0, len(batch), NORMALIZED_ROWS):
+                some = batch.slice(start, NORMALIZED_ROWS).to_pylist()
+                yield pa.array([None if t is None else unicodedata.normalize(form, t) for t in some], batch.type)
 
     return normalize
 
