@@ -6,12 +6,13 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexmill.functions import text as tx
-from lexmill.session import cut_lineage
+from lexmill.session import cut_lineage, python_partitions
 
 # Marks that end a sentence, and what may close a quotation or bracket behind them.
 ENDS = ".!?。！？।؟"
@@ -20,6 +21,9 @@ CLOSERS = r"\"'”’»)\]}」』）"
 # Most rows of chosen contexts that are sent to every executor.
 BROADCAST_ROWS = 200_000
 
+# Windows that lie within so many words of a sentence's start are counted apart from the longer ones, see ``owned_prefixes``.
+START = 3
+
 
 def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Sentences cut after a sentence mark (with closing quotes or brackets) and white space, as white-space separated tokens.
@@ -77,15 +81,79 @@ def prefix_digests(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(digests)
 
 
+def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``owned_prefixes`` from sorted texts; holds one batch and the prefixes of the current text."""
+    before: list[str] = []
+    open_at: list[list] = [[]]  # the owner of each open prefix, by its number of words
+    owners: list[list] = []  # of open prefixes: text, first, counts
+    for batch in batches:
+        done = []
+        for text, n in zip(batch.column("text").to_pylist(), batch.column("n").to_pylist(), strict=True):
+            words = text.split(" ")
+            size = len(words) - 1  # behind the last blank there is nothing
+            same = 0
+            for a, b in zip(before, words):
+                if a != b:
+                    break
+                same += 1
+            while owners and owners[-1][1] >= same:
+                done.append(owners.pop())
+            low, first = 1 if size <= START else START, max(same, 1)
+            for i in range(low, first):
+                owner = open_at[i]
+                owner[2][i - owner[1]] += n
+            if first < size:
+                owner = [text, first, [n if i >= low else 0 for i in range(first, size)]]
+                owners.append(owner)
+                open_at[first:] = [owner] * (size - first)
+            before = words[:size]
+        yield _owner_batch(done)
+    yield _owner_batch(owners)
+
+
+def _owner_batch(owners: list[list]) -> pa.RecordBatch:
+    texts, firsts, counts = zip(*owners, strict=True) if owners else ((), (), ())
+    columns = [pa.array(texts, pa.string()), pa.array(firsts, pa.int32()), pa.array(counts, pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays(columns, ["text", "first", "counts"])
+
+
+def owned_prefixes(sents: DataFrame) -> DataFrame:
+    """Sentences (``tokens``) with the number of uses (``counts``) of the prefixes that no sentence before has, from ``first`` words on.
+
+    Together they have each proper prefix with its next word once. What is shuffled are sentences, equal ones once, and no windows: a
+    digest of each window takes several times the text. Equal windows start with the same words, so sentences are dealt by their
+    first ``START`` + 1 words and the windows of shorter contexts come from the first ``START`` words alone, dealt by two of them. In
+    the order of their texts the sentences of a prefix are neighbours. Words must be free of blanks.
+    """
+    start = F.slice("tokens", 1, START)
+    texts = F.when(F.size("tokens") > START, F.array(start, F.col("tokens"))).otherwise(F.array(start))
+    # the blank behind the last word keeps the sentences of a prefix together whatever characters words have
+    text = F.concat(F.array_join("part", " "), F.lit(" "))
+    counted = (
+        sents.where(F.size("tokens") > 1).select(F.explode(texts).alias("part"))
+        .groupBy(text.alias("text")).agg(F.count(F.lit(1)).alias("n"))
+    )
+    words = F.split("text", " ", START + 2)
+    first = F.when(F.size(words) > START + 1, F.slice(words, 1, START + 1)).otherwise(F.slice(words, 1, 2))
+    dealt = python_partitions(counted, F.xxhash64(first))
+    owned = dealt.sortWithinPartitions("text").mapInArrow(_owners, "text string, first int, counts array<bigint>")
+    tokens = F.split("text", " ")
+    return owned.select(F.slice(tokens, F.lit(1), F.size(tokens) - 1).alias("tokens"), "first", "counts")
+
+
 def full_prefix_windows(sents: DataFrame, key: str = "doc_id") -> DataFrame:
     """As ``prefix_windows`` with unlimited context, which is identified by its MD5.
 
     Writing out all prefixes of a sentence takes quadratic space, so the shuffle carries digests;
-    ``context_text`` cuts the text of chosen contexts out of one of their sentences.
+    ``context_text`` cuts the text of chosen contexts out of one of their sentences. From the rows of ``owned_prefixes`` it
+    makes each distinct window once, with its ``count`` in place of its position.
     """
-    pairs = F.arrays_zip(
-        prefix_digests("tokens").alias("context"), F.expr("slice(tokens, 2, size(tokens))").alias("next")
-    )
+    digests, following = prefix_digests("tokens"), F.expr("slice(tokens, 2, size(tokens))")
+    if "counts" in sents.columns:
+        at = [F.col("first"), F.size("counts")]
+        own = F.arrays_zip(F.slice(digests, *at).alias("context"), F.slice(following, *at).alias("next"), F.col("counts").alias("count"))
+        return sents.select(F.explode_outer(own).alias("w")).select("w.*").where("count > 0")
+    pairs = F.arrays_zip(digests.alias("context"), following.alias("next"))
     return (
         sents.select(key, "sent_no", F.posexplode_outer(F.when(F.size("tokens") > 1, pairs)).alias("at", "w"))
         .where("w is not null")
@@ -132,7 +200,9 @@ def word_stats(windows: DataFrame) -> DataFrame:
 
 
 def pair_counts(windows: DataFrame) -> DataFrame:
-    """Count of every (context, next), in one aggregation."""
+    """Count of every (context, next), in one aggregation; windows that come once, with a ``count``, are counted already."""
+    if "count" in windows.columns:
+        return windows.select("context", "next", "count")
     return windows.groupBy("context", "next").agg(F.count(F.lit(1)).alias("count"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -65,7 +65,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
-def python_partitions(df: DataFrame, *keys: str) -> DataFrame:
+def python_partitions(df: DataFrame, *keys: str | Column) -> DataFrame:
     """Fixed number of partitions by key in front of Python groups, which adaptive execution would
     merge into few tasks by their small size in bytes."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
