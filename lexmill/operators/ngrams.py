@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +26,10 @@ BROADCAST_ROWS = 200_000
 # Windows that lie within so many words of a sentence's start are counted apart from the longer ones, see ``owned_prefixes``.
 START = 3
 
+# Windows that a task packs at a time, and what stands between the packed words.
+PACKED_WINDOWS = 1 << 21
+BETWEEN = "\n"
+
 
 def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Sentences cut after a sentence mark (with closing quotes or brackets) and white space, as white-space separated tokens.
@@ -175,9 +181,9 @@ def _per_million(frequency: Column) -> Column:
     return F.log10(frequency * 1_000_000)
 
 
-def _with_share(counts: DataFrame, by: str) -> DataFrame:
+def _with_share(counts: DataFrame, by: str, pairs: DataFrame | None = None) -> DataFrame:
     # The total comes from the counts, so the windows are built once and the exchange is reused.
-    total = counts.agg(F.sum("count").alias("total")).scalar()
+    total = (counts if pairs is None else pairs).agg(F.sum("count").alias("total")).scalar()
     frequency = F.col("count") / total
     return counts.select(
         by, "count", frequency.alias("frequency"), _per_million(frequency).alias("log_freq_per_million")
@@ -191,7 +197,8 @@ def context_stats(windows: DataFrame) -> DataFrame:
 
 def word_stats_of_pairs(pairs: DataFrame) -> DataFrame:
     """``word_stats`` from the rows of ``next_word_stats``, so that windows are counted once for both."""
-    return _with_share(pairs.groupBy("next").agg(F.sum("count").alias("count")), "next")
+    # the total of the pairs is that of the words; where words are joined a filter keeps their exchange from being used again
+    return _with_share(pairs.groupBy("next").agg(F.sum("count").alias("count")), "next", pairs)
 
 
 def word_stats(windows: DataFrame) -> DataFrame:
@@ -206,12 +213,53 @@ def pair_counts(windows: DataFrame) -> DataFrame:
     return windows.groupBy("context", "next").agg(F.count(F.lit(1)).alias("count"))
 
 
-def next_word_stats(windows: DataFrame) -> DataFrame:
+def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Next words of a context in one row, equal ones side by side; a word that is NULL or holds ``BETWEEN`` stands ``alone``."""
+    def pack(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        alone = pc.fill_null(pc.match_substring(table["next"], BETWEEN), True)
+        odd, plain = table.filter(alone), table.filter(pc.invert(alone))
+        if plain.num_rows:
+            contexts, words = (plain[k].combine_chunks().dictionary_encode() for k in ("context", "next"))
+            codes = contexts.indices.to_numpy().astype(np.int64) * len(words.dictionary) + words.indices.to_numpy()
+            codes.sort()
+            context, word = np.divmod(codes, len(words.dictionary))
+            starts = np.flatnonzero(np.diff(context, prepend=-1))
+            ends = np.append(starts, len(codes)).astype(np.int32)
+            packed = pc.binary_join(pa.ListArray.from_arrays(ends, words.dictionary.take(pa.array(word))), BETWEEN)
+            yield batch(contexts.dictionary.take(pa.array(context[starts])), packed, pa.nulls(len(starts), pa.string()))
+        if odd.num_rows:
+            yield batch(odd["context"].combine_chunks(), pa.nulls(odd.num_rows, pa.string()), odd["next"].combine_chunks())
+
+    def batch(*columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([c.cast(pa.string()) for c in columns], ["context", "packed", "alone"])
+
+    held, rows = [], 0
+    for some in batches:
+        held.append(some)
+        rows += some.num_rows
+        if rows >= PACKED_WINDOWS:
+            yield from pack(held)
+            held, rows = [], 0
+    if held:
+        yield from pack(held)
+
+
+def _dealt_packed(windows: DataFrame) -> DataFrame:
+    """Windows dealt by context; a task sends the next words that it has for a context together, a row each takes several times the bytes."""
+    packed = windows.mapInArrow(_packer, "context string, packed string, alone string")
+    words = F.when(F.col("packed").isNotNull(), F.split("packed", BETWEEN)).otherwise(F.array("alone"))
+    return python_partitions(packed, "context").select("context", F.explode(words).alias("next"))
+
+
+def next_word_stats(windows: DataFrame, packed: bool = False) -> DataFrame:
     """Count of every (context, next) and its share inside the context.
 
     The windows are dealt by context once; pairs and totals are both counted where they lie. As a context NULL is no context, it is left out.
+    ``packed`` is for short contexts, of which a task has many windows: the shuffle then takes less than half.
     """
-    dealt = windows.where("context is not null").select("context", "next").repartition("context")
+    known = windows.where("context is not null").select("context", "next")
+    dealt = _dealt_packed(known) if packed else known.repartition("context")
     total = F.sum("count").over(Window.partitionBy("context"))
     frequency = F.col("count") / F.col("context_count")
     return pair_counts(dealt).withColumn("context_count", total).select(

@@ -6,12 +6,13 @@ import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import numeric as nm
 from lexmill.functions import text as tx
 from lexmill.operators.ordering import dense_positions, id_groups
+from lexmill.session import python_partitions
 
 ITEM = ["task", "uid", "idx"]
 
@@ -108,34 +109,35 @@ def ngram_score(
 ) -> DataFrame:
     """Log-probability of a sentence under next-word statistics.
 
-    log P(next | previous word) from ``pairs`` (context, next, frequency) of one-word contexts, else
-    log P(next) from ``words`` (next, frequency), else ``floor``. Steps are counted per candidate and meet the
-    statistics as distinct steps. The join back carries one row per candidate and step; a step that most candidates hold is a
-    large group of the counted side only, which adaptive execution splits.
+    log P(next | previous word) from ``pairs`` (context, next, frequency; each once) of one-word contexts, else
+    log P(next) from ``words`` (next, frequency), else ``floor``. Steps are dealt by context, as the rows of ``next_word_stats`` are, and
+    meet the pairs there, so pairs, the larger side, are not shuffled again. All equal steps meet in one task; those that take the
+    word's probability meet in a join, whose large groups adaptive execution splits.
     """
     tokens = tx.words(F.col(text))
-    steps = candidates.select(*keys, tokens.alias("tokens")).select(
+    taken = candidates.select(*keys, tokens.alias("tokens"))
+    several = F.size("tokens") > 1
+    steps = taken.where(several).select(
         *keys,
-        F.explode_outer(
+        F.explode(
             F.zip_with(
-                F.slice("tokens", F.lit(1), F.greatest(F.size("tokens") - 1, F.lit(0))),
-                F.expr("slice(tokens, 2, size(tokens))"),
+                F.expr("slice(tokens, 1, size(tokens) - 1)"), F.expr("slice(tokens, 2, size(tokens))"),
                 lambda a, b: F.struct(a.alias("context"), b.alias("next")),
             )
         ).alias("s"),
-    ).select(*keys, F.col("s.context").alias("context"), F.col("s.next").alias("next"))
-    counted = steps.groupBy(*keys, "context", "next").agg(F.count(F.lit(1)).alias("_n"))
-    distinct = counted.where("next is not null").select("context", "next").distinct()
-    known = (
-        distinct.join(pairs.select("context", "next", F.log("frequency").alias("_pair")), ["context", "next"], "left")
-        .join(words.select("next", F.log("frequency").alias("_word")), "next", "left")
-        .select("context", "next", F.coalesce("_pair", "_word", F.lit(float(floor))).alias("_lp"))
+    ).select("s.context", "s.next", F.struct(*keys).alias("_of"))
+    asked = python_partitions(steps, "context").withColumn("_pair", F.lit(None).cast("double"))
+    nobody = F.lit(None).cast(asked.schema["_of"].dataType)
+    known = pairs.select("context", "next", nobody.alias("_of"), F.log("frequency").alias("_pair"))
+    met = (
+        known.unionByName(asked).withColumn("_pair", F.max("_pair").over(Window.partitionBy("context", "next")))
+        .where("_of is not null")
     )
-    return (
-        counted.join(known, ["context", "next"], "left")
-        .groupBy(*keys)
-        .agg(F.coalesce(F.sum(F.col("_lp") * F.col("_n")), F.lit(0.0)).alias("logprob"))
+    scored = met.join(words.select("next", F.log("frequency").alias("_word")), "next", "left").select(
+        "_of.*", F.coalesce("_pair", "_word", F.lit(float(floor))).alias("_lp")
     )
+    without = taken.where(~F.coalesce(several, F.lit(False))).select(*keys, F.lit(0.0).alias("_lp"))
+    return scored.unionByName(without).groupBy(*keys).agg(F.sum("_lp").alias("logprob"))
 
 
 def surprisal_context(context: Column, use_bos_only: bool = False, bos: str = "<s>") -> Column:

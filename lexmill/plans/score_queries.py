@@ -11,7 +11,6 @@ from lexmill.functions import text as tx
 from lexmill.operators import distill, items, metrics, ngrams, scoring, stats, validation
 from lexmill.plans import sqlparts as sq
 from lexmill.plans.registry import query, table
-from lexmill.session import cut_lineage
 from lexmill.sources import writers
 
 GRID = scoring.temperatures(0.5, 1.5, 0.25)
@@ -483,8 +482,8 @@ def _ngram_scored(spark, sf):
     candidates = turns.select("conv_id", "turn", F.lit(0).alias("cand"), F.array_join(words, " ").alias("sentence")).unionByName(
         turns.select("conv_id", "turn", F.lit(1).alias("cand"), F.array_join(F.reverse(words), " ").alias("sentence"))
     )
-    # one count of the pairs, stored: pairs, words and totals come from it
-    pairs = cut_lineage(ngrams.next_word_stats(windows))
+    # pairs, words and totals come from the same shuffled windows; they are counted again for each, as the pairs take more disk than the text
+    pairs = ngrams.next_word_stats(windows, packed=True)
     return scoring.ngram_score(candidates, pairs, ngrams.word_stats_of_pairs(pairs), ["conv_id", "turn", "cand"], FLOOR)
 
 
