@@ -48,6 +48,17 @@ def test_scores_of_turns_and_their_reverse(spark, folder):
     assert rows == pytest.approx(wanted, abs=1e-4)
 
 
+def test_ranking_shuffles_pairs_once(spark, folder):
+    found = queries()["ngram_ranking"](spark, folder[0])
+    assert "Scan ExistingRDD" not in plan(found) and not re.findall(r"hashpartitioning\(context#\d+, next", plan(found))
+    # where both are equally likely, as without any step, the first is taken
+    path, turns, pairs = folder
+    better = {(c, t): logprob((x or "").split(), pairs, -20.0) >= logprob((x or "").split()[::-1], pairs, -20.0) for c, t, _, x in turns}
+    wanted = {role: (sum(r == role for _, _, r, _ in turns), sum(better[c, t] for c, t, r, _ in turns if r == role)) for role in ("user", "assistant")}
+    rows = {r["role"]: (r["total"], r["correct"]) for r in found.collect()}
+    assert {k: rows[k] for k in wanted} == wanted
+
+
 def test_candidates_with_equal_or_null_keys(spark):
     pairs = spark.createDataFrame([("a", "b", 0.5), ("b", "c", 0.25)], "context string, next string, frequency double")
     words = spark.createDataFrame([("b", 0.125), ("c", 0.5)], "next string, frequency double")
